@@ -140,6 +140,16 @@ def pieces(data: np.ndarray, offs: np.ndarray, most: int = 4 * BLOCK):
         a = b
 
 
+def pack_keys(x: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte planes apart: the high planes are nearly all zero."""
+    d = np.diff(x, prepend=np.uint64(0))
+    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -204,3 +214,18 @@ def components(links: DataFrame) -> DataFrame:
     low = e.groupBy("a").agg(F.min("b").alias("component"))
     roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct().join(low.select(F.col("a").alias("id")), "id", "left_anti")
     return low.select(F.col("a").alias("id"), "component").union(roots)
+
+
+def near_in_buckets(rows: DataFrame, condition: str, block: int = 512) -> DataFrame:
+    """Distinct (a, b) of rows x and y of (key, id, ...) in one bucket for which ``condition`` holds.
+
+    Buckets are cut into blocks of about ``block`` rows that meet two by two, so a large bucket is
+    spread over many tasks; the condition is part of the join, so pairs that fail it are never made.
+    """
+    size = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    own = rows.join(size, "key").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")
+    dealt = keep(dealt)
+    met = dealt.alias("x").join(dealt.alias("y"), F.expr("x.key = y.key and x._i = y._i and x._j = y._j and " + condition))
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
