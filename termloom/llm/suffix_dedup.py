@@ -1,7 +1,7 @@
 """Removal of repeated byte strings by sharded suffix arrays (operator 3).
 
 Plan.
-1. Anchors: of every ``window``-byte string the 128-byte gram with the least hash is an anchor, so
+1. Anchors: of every ``window``-byte string the 64-byte gram with the least hash is an anchor, so
    equal strings hold the same anchor at the same place. An anchor whose hash occurs once in the
    corpus can't lie in a repeated string. Anchors with equal surroundings (all strings through the
    anchor equal) are settled by counting alone. What is left are the borders of repeated passages.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import common as C
 
-WINDOW, GRAM = 400, 128
+WINDOW, GRAM = 400, 64
 SHARD_BORDER, SHARD_TEXT = 1 << 21, 1 << 23
 RANGE_ROWS = 1_000_000
 
@@ -187,8 +187,8 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndar
 
 
 def shard_marks(texts: list[np.ndarray], lists: list[tuple[np.ndarray, ...]], window: int, gram: int):
-    """Of a shard: for each document the windows known to repeat and those open, as bool and
-    (starts, fingerprints); and the sorted distinct fingerprints of the shard's border windows."""
+    """Of a shard: for each document which windows are known to repeat and which are open, and the
+    sorted distinct fingerprints of the shard's border windows."""
     marks, opens, regions, owner = [], [], [], []
     for i, (t, (places, full, probe)) in enumerate(zip(texts, lists, strict=True)):
         m = max(len(t) - window + 1, 0)
@@ -206,7 +206,7 @@ def shard_marks(texts: list[np.ndarray], lists: list[tuple[np.ndarray, ...]], wi
         for s, e in zip(*_runs(border), strict=True):
             regions.append((i, s, e))
     if not regions:
-        return marks, [(np.zeros(0, np.int64), np.zeros(0, np.uint64)) for _ in texts], np.zeros(0, np.uint64)
+        return marks, opens, np.zeros(0, np.uint64)
     length = np.array([e - s + window + 1 for _, s, e in regions])
     begin = np.cumsum(length) - length
     buf = np.zeros(int(length.sum()), np.int16)
@@ -222,22 +222,19 @@ def shard_marks(texts: list[np.ndarray], lists: list[tuple[np.ndarray, ...]], wi
     twice = np.zeros(len(valid), bool)
     twice[order] = long_[:-1] | long_[1:]
     twice &= valid
-    prints, pending = [], []
+    prints = []
     found: dict[int, list[tuple[int, int, int]]] = {}
     for (i, s, e), b in zip(regions, begin, strict=True):
         found.setdefault(i, []).append((s, e, b))
     for i, t in enumerate(texts):
         if i not in found:
-            pending.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
             continue
         starts = np.concatenate([np.arange(s, e + 1) for s, e, _ in found[i]])
         seen = np.concatenate([twice[b : b + e - s + 1] for s, e, b in found[i]])
-        fp = _window_hashes(t, starts, window)
+        prints.append(_window_hashes(t, starts, window))
         marks[i][starts[seen]] = True
-        prints.append(fp)
-        asks = ~marks[i][starts]
-        pending.append((starts[asks], fp[asks]))
-    return marks, pending, np.unique(np.concatenate(prints))
+        opens[i] &= ~marks[i]
+    return marks, opens, np.unique(np.concatenate(prints))
 
 
 def _spans(mark: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -252,7 +249,7 @@ def _spans(mark: np.ndarray, window: int, n: int) -> np.ndarray:
     return np.stack((s[first], e[last]), axis=1)
 
 
-SHARD = "shard string, key long, text binary, known binary, starts binary, prints binary"
+SHARD = "shard string, key long, text binary, known binary, asks binary, prints binary"
 
 
 def _shards(window: int, gram: int):
@@ -264,11 +261,11 @@ def _shards(window: int, gram: int):
         def flush() -> pa.RecordBatch:
             name = uuid.uuid4().hex
             marks, pending, prints = shard_marks(texts, lists, window, gram)
-            rows = [(name, k, t.tobytes(), np.packbits(m).tobytes(), p[0].astype(np.int32).tobytes() if len(t) < 1 << 31 else p[0].tobytes(), p[1].tobytes()) for k, t, m, p in zip(keys, texts, marks, pending, strict=True)]
-            rows.append((name, None, None, None, None, prints.tobytes()))
+            rows = [(name, k, t.tobytes(), *(np.stack(_runs(x)).tobytes() for x in (m, p)), None) for k, t, m, p in zip(keys, texts, marks, pending, strict=True)]
+            rows.append((name, None, None, None, None, C.pack_keys(prints)))
             cols = list(zip(*rows, strict=True))
             kinds = [pa.string(), pa.int64(), *[pa.binary()] * 4]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "key", "text", "known", "starts", "prints"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["shard", "key", "text", "known", "asks", "prints"])
 
         for batch in batches:
             data, offs = C.column_bytes(batch.column(1))
@@ -297,26 +294,26 @@ def _split(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for i in range(len(t)):
-                x = np.frombuffer(t.column(1)[i].as_py(), np.uint64)
+                x = C.unpack_keys(t.column(1)[i].as_py())
                 if not len(x):
                     continue
                 cuts = np.searchsorted(x, np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64))
                 got = [(r, p) for r, p in enumerate(np.split(x, cuts)) if len(p)]
-                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int32()), pa.array([t.column(0)[i].as_py()] * len(got)), pa.array([p.tobytes() for _, p in got])], ["r", "shard", "prints"])
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in got], pa.int32()), pa.array([t.column(0)[i].as_py()] * len(got)), pa.array([C.pack_keys(p) for _, p in got])], ["r", "shard", "prints"])
 
     return run
 
 
 def _merge(t: pa.Table) -> pa.Table:
     """Fingerprints that two or more shards hold, back to each of them."""
-    own = [np.frombuffer(x, np.uint64) for x in t.column("prints").to_pylist()]
+    own = [C.unpack_keys(x) for x in t.column("prints").to_pylist()]
     x = np.sort(np.concatenate(own))
     twice = np.unique(x[1:][x[1:] == x[:-1]])
     out = []
     for p in own:
         at = np.searchsorted(twice, p)
         hit = p[(at < len(twice)) & (twice[np.minimum(at, max(len(twice) - 1, 0))] == p)] if len(twice) else p[:0]
-        out.append(hit.tobytes())
+        out.append(C.pack_keys(hit))
     some = pa.array([bool(x) for x in out])
     return pa.table({"shard": t.column("shard"), "hits": pa.array(out, pa.binary())}).filter(some)
 
@@ -326,15 +323,18 @@ OUT = "key long, n_removed long, n_spans long, kept_sha256 string"
 
 def _finish(window: int, texts: bool):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in hits.column("hits").to_pylist())]))
+        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(C.unpack_keys(x) for x in hits.column("hits").to_pylist())]))
         rows = []
-        for key, raw, mark, starts, prints in zip(*(docs.column(c).to_pylist() for c in ("key", "text", "known", "starts", "prints")), strict=True):
-            m = max(len(raw) - window + 1, 0)
-            mark = np.unpackbits(np.frombuffer(mark, np.uint8))[:m].astype(bool)
-            p = np.frombuffer(prints, np.uint64)
-            if len(p) and len(known):
+        for key, raw, known_runs, ask_runs in zip(*(docs.column(c).to_pylist() for c in ("key", "text", "known", "asks")), strict=True):
+            mark = np.zeros(max(len(raw) - window + 1, 0), bool)
+            for s, e in np.frombuffer(known_runs, np.int64).reshape(2, -1).T:
+                mark[s : e + 1] = True
+            asks = [np.arange(s, e + 1) for s, e in np.frombuffer(ask_runs, np.int64).reshape(2, -1).T]
+            if asks and len(known):
+                starts = np.concatenate(asks)
+                p = _window_hashes(np.frombuffer(raw, np.uint8), starts, window)
                 at = np.minimum(np.searchsorted(known, p), len(known) - 1)
-                mark[np.frombuffer(starts, np.int32)[known[at] == p]] = True
+                mark[starts[known[at] == p]] = True
             spans = _spans(mark, window, len(raw))
             left, at = [], 0
             for s, e in spans.tolist():
@@ -370,16 +370,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
 
     at = docs.select("key", "text").mapInArrow(find, "key long, place long, h long, g long")
     at = C.keep(at)
-    same = at.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("key", "place")).alias("one"))
-    often = same.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("h", "kinds")
-    same = same.join(often, "h").select("h", "g", (F.col("c") > 1).cast("long").alias("full"), F.when(F.expr("c > 1 and kinds > 1"), F.col("one")).alias("one"))
+    same = at.groupBy("h", "g").agg(F.count("*").alias("c"))
+    often = same.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("h", F.col("kinds") > 1)
+    often = often.toDF("h", "varied")
+    same = same.join(often, "h").select("h", "g", (F.col("c") > 1).alias("full"), "varied")
+    met = C.keep(at.join(same, ["h", "g"]).select("key", "place", "h", "g", "full", "varied"))
     # One copy of a settled group stands for it wherever other surroundings of the anchor exist.
-    probe = F.coalesce(F.struct("key", "place") == F.col("one"), F.lit(False)).cast("long")
-    lists = at.join(same, ["h", "g"]).groupBy("key").agg(F.collect_set(F.col("place") * 4 + F.col("full") + 2 * probe).alias("places"))
+    one = met.where("full and varied").groupBy("h", "g").agg(F.min(F.struct("key", "place")).alias("one"))
+    codes = met.select("key", (F.col("place") * 4 + F.col("full").cast("int")).alias("code")).union(one.select("one.key", F.col("one.place") * 4 + 3))
+    lists = codes.groupBy("key").agg(F.collect_set("code").alias("places"))
     suspects = docs.dropDuplicates(["key"]).select("key", "text").join(lists, "key").select("key", F.col("text").cast("binary").alias("text"), "places")
     shards = C.keep(suspects.mapInArrow(_shards(window, gram), SHARD))
     own = shards.where("key is null").select("shard", "prints")
-    total = own.agg(F.sum(F.octet_length("prints"))).first()[0] or 0
+    total = own.agg(F.sum(F.octet_length("prints"))).first()[0] or 0  # 8 bytes each
     ranges = max(1, -(-total // (8 * RANGE_ROWS)))
     ranges = max(ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 8 * RANGE_ROWS else 1)
     hits = own.mapInArrow(_split(ranges), "r int, shard string, prints binary").groupBy("r").applyInArrow(_merge, "shard string, hits binary")
