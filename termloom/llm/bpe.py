@@ -2,29 +2,32 @@
 
 A pair of neighbouring symbols that occurs inside no vocabulary token can't be joined by any merge,
 so a cut between the two changes nothing: the fragments are encoded on their own and their ids
-concatenated. The pairs are read off the vocabulary. Cuts before white space are moreover forced
-by the pre-tokenizer, whose pieces only ever begin with it, and give fragments that repeat, so each
-distinct fragment is encoded once a worker (the memo is emptied when it reaches a fixed size).
-Texts that hold an added token's string, or one of the four control characters that Python and the
-tokenizer class differently, go through the library whole.
+concatenated. The pairs are read off the vocabulary. The pre-tokenizer forces cuts of its own, which
+are made first; its pieces repeat, so each distinct piece is cut and encoded once a worker (the memo
+is emptied when it reaches a fixed size). Texts that hold an added token's string, or one of the four
+control characters that Python and the tokenizer class differently, go through the library whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from termloom.llm import common as C
 
-MEMO = 300_000
-_FRAGMENT = re.compile(r"\s*\S+|\s+")
+MEMO = 1_000_000
+#: The byte-level pre-tokenizer's pattern, and the same for texts of ASCII alone.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
 
 
 def default_path(name: str) -> str:
@@ -62,31 +65,31 @@ class ForcedBpe:
         plain = [t for t in vocab if t not in added]
         self.inside = {a + b for t in plain for a, b in zip(t, t[1:], strict=False)}
         self.byte_of = {c: b for b, c in _byte_alphabet().items()}
-        space = {c for c, b in self.byte_of.items() if b in (9, 10, 11, 12, 13, 32)}
-        #: no token goes on from another byte into white space
-        self.spaced = all(p[1] not in space or p[0] in space for p in self.inside)
         odd = [re.escape(x) for x in sorted(added, key=len, reverse=True)]
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *odd]))
         self.token_bytes = {i: (t.encode() if t in added else bytes(self.byte_of[c] for c in t)) for t, i in vocab.items()}
-        self.memo = Memo(self._fragment)
+        self.memo = Memo(self._piece)
+        kind = json.loads(self.tok.to_str())["pre_tokenizer"] or {}
+        self.known = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and self.tok.normalizer is None
 
     def cut(self, piece: str) -> list[str]:
         """The fragments of a piece between symbol pairs that no token holds."""
         at = [i for i in range(1, len(piece)) if piece[i - 1 : i + 1] not in self.inside]
         return [piece[a:b] for a, b in zip([0, *at], [*at, len(piece)], strict=True)]
 
-    def _fragment(self, text: str) -> tuple[str, bytes]:
-        ids = [t.id for piece, _ in self.tok.pre_tokenizer.pre_tokenize_str(text) for part in self.cut(piece) for t in self.tok.model.tokenize(part)]
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        mapped = piece.encode().decode("latin-1").translate(_ALPHABET)
+        ids = [t.id for part in self.cut(mapped) for t in self.tok.model.tokenize(part)]
         return ",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids))
 
     def encode_joined(self, text: str) -> tuple[str, bytes]:
         """(ids in decimal joined by commas, bytes of the decoded ids)."""
         if not text:
             return "", b""
-        if not self.spaced or self.whole.search(text):
+        if not self.known or self.whole.search(text):
             ids = self.tok.encode(text, add_special_tokens=False).ids
             return ",".join(map(str, ids)), self.decode(ids).encode()
-        got = list(map(self.memo.__getitem__, _FRAGMENT.findall(text)))
+        got = list(map(self.memo.__getitem__, (_SPLIT_ASCII if text.isascii() else _SPLIT).findall(text)))
         return ",".join([x for x, _ in got]), b"".join([y for _, y in got]).decode("utf-8", "replace").encode()
 
     def encode(self, text: str) -> list[int]:
@@ -103,6 +106,7 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
 
 
+_ALPHABET = _byte_alphabet()
 _loaded: dict[str, ForcedBpe] = {}
 
 

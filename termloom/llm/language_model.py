@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from termloom.llm import common as C
 
 FOLDS, HELD = 7, 2
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 5 << 20
 #: One in so many training documents is also a development document; steps of EM.
 DEVELOPMENT, STEPS = 50, 60
 BUCKETS, STEP = 24, 4  # context-frequency buckets by powers of two; quarters of a power of two

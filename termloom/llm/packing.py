@@ -10,11 +10,15 @@ waiting tokens need at least, begun by the longest pieces.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,28 +28,41 @@ from termloom.llm import common as C
 LENGTH, END, GROUP = 4096, 1, 25_000
 
 
+#: The pre-tokenizer's pattern, and the same for texts of ASCII alone.
+_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
+
+
 class Ids:
-    """Ids of a word-splitting tokenizer file as little-endian unsigned 32-bit bytes.
+    """Ids of the word-splitting tokenizer file as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so blanks and line ends are cuts;
-    each distinct fragment is encoded once a worker. Texts with an added token's string go whole.
+    Each distinct word is encoded once a worker. Texts that hold an added token's string, a sigma
+    (whose lower case Python makes depend on what is around it) or one of the control characters
+    that Python and the tokenizer class differently go through the library whole.
     """
 
     def __init__(self, path: str):
         self.tok = bpe.Tokenizer.from_file(str(path))
         self.tok.no_truncation()
         self.tok.no_padding()
-        added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = bpe.re.compile("|".join(bpe.re.escape(x) for x in added), bpe.re.IGNORECASE) if added else None
-        self.memo = bpe.Memo(self._whole)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join(["[\x1c-\x1f\u03a3]", *added]))
+        kind = json.loads(self.tok.to_str())
+        patterns = [x["pattern"].get("Regex") for x in (kind["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
+        self.known = patterns == [_SPLIT.pattern] and [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.four = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size(with_added_tokens=True))]
+        self.memo = bpe.Memo(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.encode().decode("latin-1").translate(bpe._ALPHABET)
+        return b"".join([self.four[t.id] for t in self.tok.model.tokenize(mapped)])
 
     def __call__(self, text: str) -> bytes:
-        if self.whole is not None and self.whole.search(text):
-            return self._whole(text)
-        return b"".join(map(self.memo.__getitem__, text.replace("\n", " ").split(" ")))
+        if not self.known or self.whole.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if text.isascii():
+            return b"".join(list(map(self.memo.__getitem__, _SPLIT_ASCII.findall(text.lower()))))
+        return b"".join(list(map(self.memo.__getitem__, _SPLIT.findall(unicodedata.normalize("NFC", text).lower()))))
 
 
 _loaded: dict[str, Ids] = {}

@@ -141,6 +141,7 @@ def near_rows(seed):
 
 def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(near_dedup, "LARGE", 3)
     for seed, k in ((1, 2), (2, 5)):
         rows = near_rows(seed)
         df = spark.createDataFrame([(i, t, 0, "a") for i, t in rows], "doc_id long, text string, n int, key string").repartition(3)
