@@ -8,10 +8,12 @@ fingerprint is cut into one block more than the radius, each block is the key of
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,20 +60,11 @@ def _sum(bits: np.ndarray) -> np.ndarray:
     return low.sum(axis=0, dtype=np.int64) + bits[n:].sum(axis=0, dtype=np.int64)
 
 
-def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """The other columns of ``df`` and the fingerprint of ``text`` as two longs name_0, name_1."""
-    rest = [c for c in df.columns if c != text]
-    df = df.select(*rest, F.col(text).cast("string").alias("_text"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.dtypes if c != "_text"] + [f"{name}_0 long, {name}_1 long"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            data, offs = C.column_bytes(t.column(len(rest)))
-            parts = [fingerprints(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in C.pieces(data, offs)]
-            f = (np.concatenate(parts) if parts else np.zeros((0, 2), np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(len(rest))), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], [*rest, f"{name}_0", f"{name}_1"])
-
-    return df.mapInArrow(run, schema)
+def _prints(texts: pa.Array) -> np.ndarray:
+    """Fingerprints of a column, a few MB of text at a time, as signed words."""
+    data, offs = C.column_bytes(texts)
+    parts = [fingerprints(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]) for a, b in C.pieces(data, offs)]
+    return (np.concatenate(parts) if parts else np.zeros((0, BITS // 64), np.uint64)).view(np.int64)
 
 
 def hexed(name: str):
@@ -99,25 +92,78 @@ def neighbours(prints: DataFrame, radius: int = 3) -> DataFrame:
     return C.near_in_buckets(rows, f"x.id < y.id and bit_count(x.f_0 ^ y.f_0) + bit_count(x.f_1 ^ y.f_1) between 1 and {radius}")
 
 
-def successors(rows: DataFrame) -> DataFrame:
-    """(key, prev_key, prev_n) of every row of (doc_id, key, n), in the order (doc_id, key).
-
-    The first row's predecessor is the last one. Range-sorted; of each partition only its last row
-    goes through the driver.
+#: A run of rows alike in doc_id and text: their number, what they hold, and what follows them.
+ROW = "copies long, doc_id long, key long, n long, edited_sha256 string, f_0 long, f_1 long, e_0 long, e_1 long, next_0 long, next_1 long"
+EDGE = "p int, copies long, doc_id long, key long, f_0 long, f_1 long, text string, first_0 long, first_1 long, first_text string"
+_ROW_TYPES = [pa.int64()] * 4 + [pa.string()] + [pa.int64()] * 6
+_EDGE_TYPES = [pa.int32()] + [pa.int64()] * 5 + [pa.string()] + [pa.int64()] * 2 + [pa.string()]
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _edited(runs: list[tuple], following: list[tuple]) -> list[pa.Array]:
+    """Columns of ROW for runs (copies, doc_id, key, f_0, f_1, text) whose next are (f_0, f_1, text)."""
+    texts = [r[5][: len(r[5]) - len(r[5]) // 4] + x[2][: len(r[5]) // 4] for r, x in zip(runs, following, strict=True)]
+    e = _prints(pa.array(texts, pa.large_string()))
+    digests = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
+    cols = [[r[0] for r in runs], [r[1] for r in runs], [r[2] for r in runs], [len(r[5]) for r in runs], digests, [r[3] for r in runs], [r[4] for r in runs], e[:, 0], e[:, 1], [x[0] for x in following], [x[1] for x in following]]
+    return [pa.array(c, k) for c, k in zip(cols, _ROW_TYPES, strict=True)]
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, key, text) of one range partition in order -> ROW of all runs but the last, and
+    at the end the partition's EDGE. Held at a time: one batch and one run's text."""
+    head, open_ = None, None
+    rows, edges = _names(ROW), _names(EDGE)
+    kind = pa.struct([pa.field(n, k) for n, k in zip(edges, _EDGE_TYPES, strict=True)])
+    for t in batches:
+        f = _prints(t.column(2))
+        runs = [open_] if open_ else []
+        ids, keys = t.column(0).to_pylist(), t.column(1).to_pylist()
+        for i, (d, k) in enumerate(zip(ids, keys, strict=True)):
+            if runs and runs[-1][2] == k:
+                runs[-1] = (runs[-1][0] + 1, *runs[-1][1:])
+            else:
+                runs.append((1, d, k, int(f[i, 0]), int(f[i, 1]), t.column(2)[i].as_py()))
+        if not runs:
+            continue
+        head = head or runs[0]
+        open_ = runs.pop()
+        if runs:
+            got = _edited(runs, [r[3:] for r in [*runs[1:], open_]])
+            yield pa.RecordBatch.from_arrays([*got, pa.nulls(len(runs), kind)], [*rows, "edge"])
+    if open_:
+        values = (TaskContext.get().partitionId(), *open_, *head[3:])
+        edge = pa.StructArray.from_arrays([pa.array([v], k) for v, k in zip(values, _EDGE_TYPES, strict=True)], edges)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in _ROW_TYPES), edge], [*rows, "edge"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ROW of each partition's last run, from its columns and those of the next partition's first."""
+    for t in batches:
+        x = list(zip(*(c.to_pylist() for c in t.columns), strict=True))
+        yield pa.RecordBatch.from_arrays(_edited([r[:6] for r in x], [r[6:] for r in x]), _names(ROW))
+
+
+def edited_chain(rows: DataFrame) -> DataFrame:
+    """ROW of every run of (doc_id, key, text), which go in the order (doc_id, key).
+
+    The last one's next is the first. The texts move once, range-sorted; a sweep of each partition
+    edits, digests and fingerprints all runs but the last. Those meet the next partition's first run
+    by partition number; only the numbers of the partitions that have rows go through the driver.
     """
-    ordered = rows.repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key").select("key", "n", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
-    ordered = C.keep(ordered)
-    tails = {r[0]: (r[1][1], r[1][2]) for r in ordered.groupBy("p").agg(F.max(F.struct("at", "key", "n"))).collect()}
-    from pyspark.sql import Window
-
-    before, last = [], None
-    for p in sorted(tails):
-        before.append((p, *(last or tails[max(tails)])))
-        last = tails[p]
-    w = Window.partitionBy("p").orderBy("at")
-    edge = rows.sparkSession.createDataFrame(before, "p int, k long, m long")
-    out = ordered.select("*", F.lag("key").over(w).alias("k0"), F.lag("n").over(w).alias("n0")).join(F.broadcast(edge), "p", "left")
-    return out.select("key", F.coalesce("k0", "k").alias("prev_key"), F.coalesce("n0", "m").alias("prev_n"))
+    spark = rows.sparkSession
+    ordered = rows.select("doc_id", "key", "text").repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
+    swept = C.keep(ordered.mapInArrow(_sweep, f"{ROW}, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"))
+    edges = swept.where("edge is not null").select("edge.*")
+    order = sorted(r[0] for r in edges.select("p").collect())
+    after = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "p int, q int")
+    first = edges.select(F.col("p").alias("q"), F.col("first_0").alias("next_0"), F.col("first_1").alias("next_1"), F.col("first_text").alias("next_text"))
+    pairs = edges.drop("first_0", "first_1", "first_text").join(after, "p").join(first, "q")
+    last = pairs.select("copies", "doc_id", "key", "f_0", "f_1", "text", "next_0", "next_1", "next_text").mapInArrow(_meet, ROW)
+    return swept.where("edge is null").drop("edge").unionByName(last)
 
 
 def compare_edited(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -132,20 +178,13 @@ def compare_edited(docs: DataFrame, radius: int = 3) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
-    prints = C.keep(with_fingerprint(rows.select("doc_id", "key", F.char_length("text").cast("long").alias("n"), "text"), "text", "f"))
-    one = prints.dropDuplicates(["key"])
-    chain = C.keep(successors(one.select("doc_id", "key", "n")))
-    following = chain.join(one.select("key", F.col("f_0").alias("next_0"), F.col("f_1").alias("next_1")), "key").select(F.col("prev_key").alias("key"), "next_0", "next_1")
-    texts = rows.select("key", "text")
-    head = texts.join(chain, "key").select(F.col("prev_key").alias("key"), F.expr("left(text, cast(prev_n div 4 as int))").alias("head")).dropDuplicates(["key"])
-    edited = texts.join(head, "key").select("key", F.expr("concat(left(text, cast(char_length(text) - char_length(text) div 4 as int)), head)").alias("text"))
-    edited = with_fingerprint(edited.select("key", F.sha2(F.col("text").cast("binary"), 256).alias("edited_sha256"), "text"), "text", "e").dropDuplicates(["key"])
-    classes = C.keep(one.groupBy("f_0", "f_1").agg(F.min("key").alias("id")))
+    chain = C.keep(edited_chain(rows))
+    classes = C.keep(chain.groupBy("f_0", "f_1").agg(F.min("key").alias("id")))
     links = neighbours(classes, radius)
     n_near = links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"))
-    near = classes.join(n_near, "id", "left").select("f_0", "f_1", F.coalesce("n_near", F.lit(0)).alias("n_near"))
-    out = prints.join(edited, "key").join(following.dropDuplicates(["key"]), "key").join(near, ["f_0", "f_1"])
-    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", hexed("f").alias("fingerprint"), hexed("e").alias("edited_fingerprint"), likeness("f", "e").alias("near_edited"), likeness("f", "next").alias("near_next"), "n_near")
+    near = classes.join(n_near, "id").select("f_0", "f_1", "n_near")
+    out = chain.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).join(near, ["f_0", "f_1"], "left")
+    return out.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", hexed("f").alias("fingerprint"), hexed("e").alias("edited_fingerprint"), likeness("f", "e").alias("near_edited"), likeness("f", "next").alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

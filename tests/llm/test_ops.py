@@ -234,3 +234,24 @@ def test_simhash_neighbours_equal_brute_force(spark):
     df = spark.createDataFrame([(i, sign(x >> 64), sign(x & (1 << 64) - 1)) for i, x in enumerate(prints)], "id long, f_0 long, f_1 long")
     got = {tuple(x) for x in simhash.neighbours(df, 3).collect()}
     assert got == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 3}
+
+
+def test_edited_chain_equals_brute_force_over_partitions(spark):
+    r = random.Random(6)
+    texts = ["".join(r.choice("ab é👍\n") for _ in range(r.randint(0, 30))) for _ in range(30)]
+    rows = [(None if i < 2 else i // 2, r.choice([None, *texts]), "x") for i in range(60)] + [(5, "same text", "y")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = collections.Counter((x.doc_id, x.n_chars, x.edited_sha256) for x in simhash.compare_edited(df).collect())
+        assert simhash.compare_edited(df.where("doc_id = 5 and text = 'same text'")).select("near_next").distinct().collect()[0][0] == 1.0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    keyed = {(d, k): t or "" for d, t, k in ((x.doc_id, x.text, x.k) for x in df.selectExpr("doc_id", "text", "xxhash64(doc_id, coalesce(text, '')) k").collect())}
+    order = sorted(keyed, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    edited = {}
+    for a, b in zip(order, order[1:] + order[:1], strict=True):
+        t, q = keyed[a], len(keyed[a]) // 4
+        edited[a[0], t] = sha(t[: len(t) - q] + keyed[b][:q])
+    assert got == collections.Counter((d, len(t or ""), edited[d, t or ""]) for d, t, _ in rows)
+    assert simhash.compare_edited(df.where("false")).count() == 0
