@@ -9,6 +9,7 @@ matches must then agree on one similarity transform. Equal files collapse to a c
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,34 +139,59 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(points), np.concatenate(codes)
 
 
-DESCRIPTOR = "id long, x float, y float, scale float, angle float, d_0 long, d_1 long"
+DESCRIBED = "id long, sha binary, n int, points binary, codes binary"
+TABLE = "key long, id long, no int, d_0 long, d_1 long"
+MEMO = 4096
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """DESCRIPTOR rows of each image of (id, image binary); none for null or broken files."""
+def described(images: DataFrame) -> DataFrame:
+    """DESCRIBED of each image of (id, image binary) that has corners; null or broken files have none.
+
+    An image's corners are one row: n x 4 float32 (x, y, scale, turn) and n x 2 words of 64 bits.
+    Equal files of a task are described once (the memo holds a fixed number of images).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, tuple[int, bytes, bytes]] = {}
         for t in batches:
-            ids, points, codes = [np.zeros(0, np.int64)], [np.zeros((0, 4))], [np.zeros((0, 2), np.uint64)]
-            for i, raw in zip(t.column(0).to_pylist(), t.column(1), strict=True):
-                image = decode_pnm(raw.as_py())
-                if image is None:
+            rows = []
+            for i, x in zip(t.column(0).to_pylist(), t.column(1), strict=True):
+                raw = x.as_py()
+                if not raw:
                     continue
-                p, c = describe(image)
-                ids.append(np.full(len(p), i, np.int64))
-                points.append(p)
-                codes.append(c)
-            p, c = np.concatenate(points).astype(np.float32), np.concatenate(codes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), *(pa.array(p[:, k].copy()) for k in range(4)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy())], ["id", "x", "y", "scale", "angle", "d_0", "d_1"])
+                sha = hashlib.sha256(raw).digest()
+                if sha not in memo:
+                    image = decode_pnm(raw)
+                    p, c = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, 2), np.uint64))
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[sha] = len(p), p.astype(np.float32).tobytes(), c.tobytes()
+                if memo[sha][0]:
+                    rows.append((i, sha, *memo[sha]))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["id", "sha", "n", "points", "codes"])
 
-    return images.select(F.col("id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, DESCRIPTOR)
+    return images.where("id is not null").select(F.col("id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, DESCRIBED)
 
 
-def _tables(d: DataFrame, bits: int) -> DataFrame:
-    """A row for each table with its block of ``bits`` bits as key."""
-    text = F.concat(*(F.lpad(F.conv(F.hex(f"d_{i}"), 16, 2), 64, "0") for i in range(2)))
-    keys = F.array(*(F.xxhash64(F.lit(i), F.substring("_b", i * bits + 1, bits)) for i in range(BITS // bits)))
-    return d.withColumn("_b", text).withColumn("key", F.explode(keys)).drop("_b")
+def tables(images: DataFrame, bits: int) -> DataFrame:
+    """TABLE of (id, codes): a row for each corner and table, whose block of ``bits`` bits is in the key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, count = 1 << np.arange(bits, dtype=np.int64), BITS // bits
+        for t in batches:
+            raw, offs = C.column_bytes(t.column(1))
+            code, size = raw.view(np.uint64).reshape(-1, 2), np.diff(offs) // 16
+            no = np.arange(len(code)) - np.repeat(offs[:-1] // 16, size)
+            ids = np.repeat(t.column(0).to_numpy(), size)
+            for a in range(0, len(code), 1 << 14):
+                x = code[a : a + (1 << 14)]
+                b = np.unpackbits(x.view(np.uint8), axis=1)[:, : bits * count].reshape(len(x), count, bits)
+                key = ((b @ weight) | np.arange(count, dtype=np.int64) << 40).ravel()
+                y, at = np.repeat(x.view(np.int64), count, axis=0), slice(a, a + len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids[at], count)), pa.array(np.repeat(no[at], count).astype(np.int32)), pa.array(y[:, 0].copy()), pa.array(y[:, 1].copy())], ["key", "id", "no", "d_0", "d_1"])
+
+    return images.select("id", "codes").mapInArrow(run, TABLE)
 
 
 def consensus(q: np.ndarray, m: np.ndarray) -> int:
@@ -181,34 +207,40 @@ def consensus(q: np.ndarray, m: np.ndarray) -> int:
     return best
 
 
+def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, image_id, n_matches, matches, q points, m points) -> with n_inliers in place of the last three."""
+    for t in batches:
+        n_in = []
+        for pairs, q, m in zip(*(t.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+            at = np.array(sorted(pairs), np.int64)
+            x, y = (np.frombuffer(z, np.float32).reshape(-1, 4).astype(float) for z in (q, m))
+            n_in.append(consensus(x[at >> 16], y[at & 0xFFFF]))
+        yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(3)), pa.array(n_in, pa.int64())], ["query_id", "image_id", "n_matches", "n_inliers"])
+
+
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """(query_id, image_id, n_matches, n_inliers) for each image class that a query is a copy of.
+    """(query_id, image_id, n_copies, n_matches, n_inliers) for each image class that a query is a copy of.
 
     Both are (id, image). image_id is the smallest id of the images with equal bytes; n_copies says
     how many there are. Images without corners match nothing. Null or broken files and null ids are
-    left out. A repeated query id gives the union of its images' matches. Empty tables: no rows.
-    """
-    classes = images.where("id is not null and image is not null").groupBy(F.sha2(F.col("image").cast("binary"), 256).alias("sha")).agg(F.min("id").alias("id"), F.count("*").alias("n_copies"), F.min("image").alias("image"))
-    classes = C.keep(classes)
-    index = C.keep(descriptors(classes))
-    asked = C.keep(descriptors(queries.where("id is not null and image is not null")))
-    n = max(index.count(), 2)
-    bits = int(min(32, max(16, np.ceil(np.log2(n)))))  # buckets of about one descriptor at any size
-    a, b = _tables(asked, bits).alias("q"), _tables(index, bits).alias("m")
-    met = a.join(b, F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
-    place = lambda t: F.struct(*(f"{t}.{c}" for c in ("x", "y", "scale", "angle")))
-    pairs = met.select(F.col("q.id").alias("query_id"), F.col("m.id").alias("image_id"), place("q").alias("q"), place("m").alias("m")).distinct()
-    pairs = pairs.groupBy("query_id", "image_id").agg(F.count("*").alias("n_matches"), F.collect_list("q").alias("q"), F.collect_list("m").alias("m")).where(f"n_matches >= {INLIERS}")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            n_in = []
-            for q, m in zip(t.column(3).to_pylist(), t.column(4).to_pylist(), strict=True):
-                n_in.append(consensus(*(np.array([list(x.values()) for x in z]) for z in (q, m))))
-            yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(3)), pa.array(n_in, pa.int64())], ["query_id", "image_id", "n_matches", "n_inliers"])
+    left out. A query id with several images gets the figures of the best of them for each match.
+    Other columns are ignored. Empty tables: no rows.
 
-    got = pairs.select("query_id", "image_id", "n_matches", "q", "m").mapInArrow(run, "query_id long, image_id long, n_matches long, n_inliers long").where(f"n_inliers >= {INLIERS}")
-    return got.join(classes.select(F.col("id").alias("image_id"), "n_copies"), "image_id").select("query_id", "image_id", "n_copies", "n_matches", "n_inliers")
+    Only corner numbers and codes go through the tables; the places of the corners come back to the
+    pairs that have enough matches.
+    """
+    index = C.keep(described(images).groupBy("sha").agg(F.min_by(F.struct("id", "n", "points", "codes"), "id").alias("r"), F.count("*").alias("n_copies")).select("r.*", "n_copies"))
+    # a query is one file under one id
+    asked = C.keep(described(queries).withColumn("query_id", F.col("id")).withColumn("id", F.xxhash64("id", "sha")).dropDuplicates(["id"]).drop("sha"))
+    corners = max(index.agg(F.sum("n")).first()[0] or 0, 2)
+    bits = int(min(32, max(16, np.ceil(np.log2(corners)))))  # buckets of about one corner at any size
+    met = tables(asked, bits).alias("q").join(tables(index, bits).alias("m"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
+    pairs = met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match"))
+    pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= INLIERS)
+    pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points")), "m")
+    got = pairs.select("query_id", F.col("m").alias("image_id"), F.size("matches").cast("long").alias("n_matches"), "matches", "q_points", "m_points").mapInArrow(_agreeing, "query_id long, image_id long, n_matches long, n_inliers long")
+    best = got.where(f"n_inliers >= {INLIERS}").groupBy("query_id", "image_id").agg(F.max("n_matches").alias("n_matches"), F.max("n_inliers").alias("n_inliers"))
+    return best.join(index.select(F.col("id").alias("image_id"), "n_copies"), "image_id").select("query_id", "image_id", "n_copies", "n_matches", "n_inliers")
 
 
 def render(vector: list[float] | None) -> np.ndarray | None:
