@@ -7,6 +7,7 @@ shingles and windows are hashed with whole-array numpy operations, never word by
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -185,6 +186,16 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets executors delete the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver collects garbage, which a driver that only plans seldom does. To be
+    called after ``keep`` has written what large shuffles made.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,9 +4,10 @@ Lines of at least ``min_chars`` code points are compared. Two lines are alike if
 one edit (insertion, deletion, substitution of a code point) apart. Equal lines collapse by
 aggregation. For the rest, each line emits every variant with one code point deleted as a hashed
 key: an insertion or deletion makes one line equal a variant of the other, a substitution makes two
-variants with the deletion at one place equal. Lines of a key are joined to the earliest of them
-only (for one edit that loses nothing: under a key with a place all lines are within the bound),
-and the edit distance is verified. A line goes if an earlier one is alike.
+variants with the deletion at one place equal. Lines of a key and place are joined to the earliest
+of them only, and so are a line and the variants that equal it (for one edit that loses nothing: all
+of them are within the bound), and the edit distance is verified. A line goes if an earlier one is
+alike.
 
 Only lines that share their first or second half with another line can be one edit apart, so the
 variants are emitted for those alone (a lossless filter by aggregation).
@@ -26,8 +27,8 @@ from termloom.llm import common as C
 MIN_CHARS = 10
 
 
-def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, int]:
-    """(keys of the variants with the place of deletion, keys without, key of the line itself)."""
+def variant_keys(line: str) -> tuple[np.ndarray, int]:
+    """(keys of the variants by the place of deletion, key of the line itself)."""
     c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(c)
     up, down = C.powers(n + 1)
@@ -35,21 +36,17 @@ def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray, int]:
     p = np.zeros(n + 1, np.uint64)
     np.cumsum(term, out=p[1:])
     less = p[:-1] + (p[n] - p[1:]) * down[1]
-    plain = C.mix(less ^ np.uint64(n - 1))
-    placed = C.mix(plain + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return placed, plain, int(C.mix(p[n : n + 1] ^ np.uint64(n))[0])
+    return C.mix(less ^ np.uint64(n - 1)), int(C.mix(p[n : n + 1] ^ np.uint64(n))[0])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, first, line) -> (key, role, id, first): role 0 placed variant, 1 the line, 2 variant."""
+    """(id, line) -> (key, place, id): place is the deleted code point's, -1 for the line itself."""
     for t in batches:
         for i in range(len(t)):
-            placed, plain, own = variant_keys(t.column(2)[i].as_py())
-            placed, plain = np.unique(placed), np.unique(plain)
-            key = np.concatenate((placed, [np.uint64(own)], plain)).view(np.int64)
-            role = np.repeat(np.array([0, 1, 2], np.int8), (len(placed), 1, len(plain)))
-            rep = pa.array(np.zeros(len(key), np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), t.column(0).slice(i, 1).take(rep), t.column(1).slice(i, 1).take(rep)], ["key", "role", "id", "first"])
+            less, own = variant_keys(t.column(1)[i].as_py())
+            key = np.concatenate(([np.uint64(own)], less)).view(np.int64)
+            place = np.arange(-1, len(less), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), t.column(0).slice(i, 1).take(pa.array(np.zeros(len(key), np.int32)))], ["key", "place", "id"])
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -57,43 +54,77 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.where(F.char_length("line") >= min_chars).select(F.struct(F.coalesce("_ord", F.lit(-(1 << 63))).alias("d"), F.col("_key").alias("k"), "pos").alias("at"), "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
 
 
-def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(_key, gone): ascending numbers of the lines to remove from each text of (_ord, _key, text)."""
-    lines = _lines(docs, min_chars)
-    n, h = F.char_length("line"), F.expr("char_length(line) div 2")
-    h1 = F.expr("(char_length(line) - 1) div 2")
-    halves = F.array(
+def _halves():
+    """Keys of which two lines one edit apart share one: both halves, at the line's length and one less."""
+    n = F.char_length("line")
+    return F.array(
         F.xxhash64(n, F.lit("a"), F.expr("left(line, char_length(line) div 2)")),
         F.xxhash64(n, F.lit("b"), F.expr("right(line, char_length(line) - char_length(line) div 2)")),
         F.xxhash64(n - 1, F.lit("a"), F.expr("left(line, (char_length(line) - 1) div 2)")),
         F.xxhash64(n - 1, F.lit("b"), F.expr("right(line, char_length(line) - 1 - (char_length(line) - 1) div 2)")),
     )
-    del h, h1
-    once = C.keep(lines.groupBy("id", "id2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(halves).alias("halves")))
+
+
+def _suspects(docs: DataFrame, once: DataFrame) -> DataFrame:
+    """(id, first, line) of the distinct lines that share a half with another; texts move once."""
     keys = once.select("id", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("half")
-    suspects = keys.join(shared, "half", "left_semi").select("id").distinct()
-    # the text of a suspect, from its first occurrence
-    where = C.keep(once.join(suspects, "id", "left_semi").select("id", "first"))
-    found = docs.select("_key", "text").dropDuplicates(["_key"]).join(where.select("id", "first", F.col("first.k").alias("_key")), "_key")
-    texts = C.keep(found.select("id", "first", F.expr("split(text, '\\n', -1)[first.pos]").alias("line")))
-    v = C.keep(texts.mapInArrow(_variants, "key long, role byte, id long, first struct<d:long, k:long, pos:int>"))
-    low = v.groupBy("key").agg(F.min(F.when(F.col("role") == 0, F.struct("first", "id"))).alias("m0"), F.min(F.when(F.col("role") == 1, F.struct("first", "id"))).alias("m1"), F.min(F.when(F.col("role") == 2, F.struct("first", "id"))).alias("m2"), F.count("*").alias("size")).where("size > 1")
-    met = v.join(low.drop("size"), "key").select("id", "first", F.when(F.col("role") == 0, F.col("m0")).when(F.col("role") == 1, F.col("m2")).otherwise(F.col("m1")).alias("m")).where("m is not null and m.first < first").select("id", F.col("m.id").alias("other")).distinct()
+    ids = keys.join(shared, "half", "left_semi").select("id").distinct()
+    where = C.keep(once.join(ids, "id", "left_semi").select("id", "first", F.col("first.k").alias("_key")))
+    found = docs.select("_key", "text").join(where, "_key").select("id", "first", F.expr("split(text, '\\n', -1)[first.pos]").alias("line"))
+    return C.keep(found)
+
+
+def _alike(texts: DataFrame) -> DataFrame:
+    """ids of the lines that have an earlier one within one edit, of (id, first, line)."""
+    from pyspark.sql import Window
+
+    texts = texts.dropDuplicates(["id"])
+    # Distinct lines with one variant are bounded by its length times the alphabet: no key is hot.
+    w = Window.partitionBy("key")
+    v = texts.select("id", "line").mapInArrow(_variants, "key long, place int, id long").repartition("key")
+    v = v.select("*", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo < hi").drop("lo", "hi")
+    v = C.keep(v.join(texts.select("id", "first"), "id"))
+    # a deletion at one place of both is a substitution, a deletion that gives a line is an insertion
+    one = F.struct("first", "id")
+    by_place = v.where("place >= 0").groupBy("key", "place").agg(F.min(one).alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
+    line, less = (v.where(c).groupBy("key").agg(F.min(one).alias("m")) for c in ("place < 0", "place >= 0"))
+    pick = lambda x: x.where("m.first < first").select("id", F.col("m.id").alias("other"))
+    met = pick(v.join(by_place, ["key", "place"])).union(pick(v.where("place >= 0").join(line, "key"))).union(pick(v.where("place < 0").join(less, "key"))).distinct()
     a, b = texts.select("id", "line"), texts.select(F.col("id").alias("other"), F.col("line").alias("before"))
-    alike = met.join(a, "id").join(b, "other").where(F.levenshtein("line", "before", 1) >= 0).select("id").distinct().withColumn("near", F.lit(True))
+    return met.join(a, "id").join(b, "other").where(F.levenshtein("line", "before", 1) >= 0).select("id").distinct()
+
+
+def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(_key, gone): ascending numbers of the lines to remove from each text of (_ord, _key, text)."""
+    spark, lines = docs.sparkSession, _lines(docs, min_chars)
+    once = C.keep(lines.groupBy("id", "id2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(_halves()).alias("halves")))
+    texts = _suspects(docs, once)
+    C.release(spark)
+    alike = _alike(texts).withColumn("near", F.lit(True))
     bad = once.join(alike, "id", "left").where("n > 1 or near").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("at", "id", "id2").join(bad, ["id", "id2"]).where("near or first < at")
-    return gone.groupBy(F.col("at.k").alias("_key")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone"))
+    gone = C.keep(gone.groupBy(F.col("at.k").alias("_key")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone")))
+    C.release(spark)
+    return gone
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in batches:
-        out = []
-        for x, gone in zip(t.column(1), t.column(2), strict=True):
-            g = set(gone.as_py())
-            out.append("\n".join(y for i, y in enumerate(x.as_py().split("\n")) if i not in g))
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(2), pa.array(out, pa.string())], ["_key", "gone", "_cut"])
+def _cut(columns: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """columns, text, gone -> columns, text without those lines, n_lines, n_dropped."""
+        for t in batches:
+            out, lines, dropped = [], [], []
+            for x, gone in zip(t.column(columns), t.column(columns + 1), strict=True):
+                x, g = x.as_py(), gone.as_py()
+                lines.append(0 if x is None else x.count("\n") + 1)
+                dropped.append(len(g or ()))
+                if g:
+                    g = set(g)
+                    x = "\n".join(y for i, y in enumerate(x.split("\n")) if i not in g)
+                out.append(x)
+            yield pa.RecordBatch.from_arrays([*t.columns[:columns], pa.array(out, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*t.schema.names[:columns], "text", "n_lines", "n_dropped"])
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -108,13 +139,13 @@ def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, columns: tuple[str
     empty line. Rows that repeat both doc_id and text count as one document and lose the same lines.
     Null doc_ids come first. Other columns are untouched; an empty table gives no rows.
     """
-    d = _keyed(docs.select(*dict.fromkeys(["doc_id", "text", *columns])).withColumn("text", F.col("text").cast("string")))
-    one = d.select("_ord", "_key", "text")
-    gone = drops(one.dropDuplicates(["_key"]), min_chars)
-    cut = one.dropDuplicates(["_key"]).join(gone, "_key").select("_key", "text", "gone").mapInArrow(_cut, "_key long, gone array<int>, _cut string")
-    out = d.join(cut, "_key", "left")
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1)
-    return out.withColumn("n_lines", lines.cast("long")).withColumn("n_dropped", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("text", F.coalesce("_cut", "text")).drop("_ord", "_key", "_cut", "gone")
+    names = list(dict.fromkeys(["doc_id", "text", *columns]))
+    d = _keyed(docs.select(*names).withColumn("text", F.col("text").cast("string")))
+    gone = drops(d.select("_ord", "_key", "text"), min_chars)
+    rest = [c for c in names if c != "text"]
+    schema = ", ".join([f"`{c}` {t}" for c, t in d.select(*rest).dtypes] + ["text string, n_lines long, n_dropped long"])
+    out = d.join(gone, "_key", "left").select(*rest, "text", "gone").mapInArrow(_cut(len(rest)), schema)
+    return out.select(*names, "n_lines", "n_dropped")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
