@@ -11,6 +11,9 @@ alike.
 
 Only lines that share their first or second half with another line can be one edit apart, so the
 variants are emitted for those alone (a lossless filter by aggregation).
+
+The joins with all texts and all lines are merge joins at any size: their other sides grow with the
+input, and the plan stays the one that is measured.
 """
 
 from __future__ import annotations
@@ -71,7 +74,7 @@ def _suspects(docs: DataFrame, once: DataFrame) -> DataFrame:
     shared = keys.groupBy("half").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("half")
     ids = keys.join(shared, "half", "left_semi").select("id").distinct()
     where = C.keep(once.join(ids, "id", "left_semi").select("id", "first", F.col("first.k").alias("_key")))
-    found = docs.select("_key", "text").join(where, "_key").select("id", "first", F.expr("split(text, '\\n', -1)[first.pos]").alias("line"))
+    found = docs.select("_key", "text").join(where.hint("merge"), "_key").select("id", "first", F.expr("split(text, '\\n', -1)[first.pos]").alias("line"))
     return C.keep(found)
 
 
@@ -103,7 +106,7 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     C.release(spark)
     alike = _alike(texts).withColumn("near", F.lit(True))
     bad = once.join(alike, "id", "left").where("n > 1 or near").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("at", "id", "id2").join(bad, ["id", "id2"]).where("near or first < at")
+    gone = lines.select("at", "id", "id2").join(bad.hint("merge"), ["id", "id2"]).where("near or first < at")
     gone = C.keep(gone.groupBy(F.col("at.k").alias("_key")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone")))
     C.release(spark)
     return gone
@@ -144,7 +147,7 @@ def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, columns: tuple[str
     gone = drops(d.select("_ord", "_key", "text"), min_chars)
     rest = [c for c in names if c != "text"]
     schema = ", ".join([f"`{c}` {t}" for c, t in d.select(*rest).dtypes] + ["text string, n_lines long, n_dropped long"])
-    out = d.join(gone, "_key", "left").select(*rest, "text", "gone").mapInArrow(_cut(len(rest)), schema)
+    out = d.join(gone.hint("merge"), "_key", "left").select(*rest, "text", "gone").mapInArrow(_cut(len(rest)), schema)
     return out.select(*names, "n_lines", "n_dropped")
 
 
