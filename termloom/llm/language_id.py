@@ -3,7 +3,9 @@
 A text is compressed once per language by zstandard with a raw-content dictionary of that language;
 the language whose dictionary gives the fewest bytes wins. Texts are compressed in blocks, so that
 also in a long text every block leans on the dictionary and not on what was read before. A narrow
-margin between the best and the second is a rejection.
+margin between the best and the second is a rejection. Of very short texts the sizes often tie: then
+the text is compressed once more behind a part of the dictionary that is compressed along with it,
+so that its single letters are coded by the language's letter frequencies.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from termloom.llm import common as C
 
 #: Bounds of the training sample: rows taken a language, and bytes of a dictionary.
 SAMPLE_ROWS, DICTIONARY_BYTES = 200, 1 << 15
-BLOCK_BYTES, LEVEL = 4096, 6
+BLOCK_BYTES, LEVEL, CONTEXT_BYTES = 4096, 6, 1 << 13
 #: A prediction is rejected if the second language needs less than this share of bytes more.
 MARGIN = 0.0005
 FOLDS = 5
@@ -62,11 +64,18 @@ class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = list(dictionaries)
         params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
-        self.coders = []
-        for raw in dictionaries.values():
+
+        def coder(raw: bytes, params=params) -> zstandard.ZstdCompressor:
             d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
-            self.coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+            return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+
+        self.coders = [coder(raw) for raw in dictionaries.values()]
+        close = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.behind = []
+        for raw in dictionaries.values():
+            c, part = coder(raw[CONTEXT_BYTES:] or raw, close), raw[:CONTEXT_BYTES]
+            self.behind.append((c, part, len(c.compress(part))))
 
     def sizes(self, raw: bytes) -> np.ndarray:
         blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
@@ -81,6 +90,10 @@ class Classifier:
         s = self.sizes(raw)
         order = np.argsort(s, kind="stable")
         gain = int(s[order[1]] - s[order[0]])
+        if gain == 0:
+            more = np.array([len(c.compress(part + raw)) - own for c, part, own in self.behind], np.int64)
+            order = np.lexsort((more, s))
+            gain = int(more[order[1]] - more[order[0]])
         # a byte less doubles the odds against the second, up to what a byte of a long text can tell
         score = 1.0 - 0.5 * 2.0 ** -min(gain, 1000)
         return self.langs[order[0]], score, gain < MARGIN * s[order[0]] or gain == 0
