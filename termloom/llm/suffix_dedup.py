@@ -373,7 +373,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
     same = at.groupBy("h", "g").agg(F.count("*").alias("c"))
     often = same.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("h", F.col("kinds") > 1)
     often = often.toDF("h", "varied")
-    same = same.join(often, "h").select("h", "g", (F.col("c") > 1).alias("full"), "varied")
+    # written first, so that the join below shuffles both sides plainly and Spark can split a hot anchor
+    same = C.keep(same.join(often, "h").select("h", "g", (F.col("c") > 1).alias("full"), "varied"))
     met = C.keep(at.join(same, ["h", "g"]).select("key", "place", "h", "g", "full", "varied"))
     # One copy of a settled group stands for it wherever other surroundings of the anchor exist.
     one = met.where("full and varied").groupBy("h", "g").agg(F.min(F.struct("key", "place")).alias("one"))
