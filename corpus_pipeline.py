@@ -2,11 +2,14 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents
 that it keeps with the columns of documents, but for the last, which returns packed pieces. Each
-result is written as Parquet and read again as the next one's docs.
+result is written as Parquet and read again as the next one's docs. So when a stage begins, what
+the one before it kept in the shared folder is read no more, and it is deleted then.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from termloom.llm import bpe, language_id, line_dedup, near_dedup, packing, suffix_dedup
@@ -15,11 +18,29 @@ from termloom.llm import common as C
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: What the stage that ran last has kept.
+_left: list = []
+
+
+def stage(f):
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        C.discard(_left)
+        C.release(spark)
+        place = C.mark()
+        out = f(spark, docs, sf_dir)
+        _left[:] = C.since(place)
+        return out
+
+    return run_stage
+
+
 def _with_length(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
     return docs.selectExpr("doc_id", "text", "lang", "source", "cast(char_length(text) as bigint) as n_chars")
 
 
+@stage
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told without a narrow margin; others, those without a letter
     among them, go. The model learns from all labelled rows' bounded sample."""
@@ -27,12 +48,14 @@ def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language_id.identify(docs, model, COLUMNS).where("not rejected").select(*COLUMNS) if model else docs.select(*COLUMNS)
 
 
+@stage
 def stage_line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier one repeats; documents left without text go."""
     out = line_dedup.remove_lines(docs, columns=COLUMNS)
     return _with_length(out.where("n_dropped = 0 or trim(text) <> ''"))
 
 
+@stage
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one of least doc_id, stays.
 
@@ -41,12 +64,14 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
+@stage
 def stage_suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without byte strings of 400 that occur elsewhere; documents left without text go."""
     out = suffix_dedup.remove_repeats(docs, columns=COLUMNS)
     return _with_length(out.where("trim(text) <> ''"))
 
 
+@stage
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe.default_path("word_bpe_49k.json"))
 
@@ -64,6 +89,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
-    for _, stage in STAGES:
-        docs = C.keep(stage(spark, docs, sf_dir))
+    for _, apply in STAGES:
+        docs = C.keep(apply(spark, docs, sf_dir))
+    C.discard(_left)
+    _left.clear()
     return docs

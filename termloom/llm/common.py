@@ -163,17 +163,37 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
 
 
+def mark() -> int:
+    """The place in the list of kept tables, for ``since``."""
+    return len(_written)
+
+
+def since(place: int) -> list[tuple[SparkSession, str]]:
+    return _written[place:]
+
+
+def discard(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes kept tables that no frame yet to be run reads."""
+    for spark, path in tables:
+        _delete(spark, path)
+    gone = {path for _, path in tables}
+    _written[:] = [x for x in _written if x[1] not in gone]
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder and read back: cuts the lineage.
 
