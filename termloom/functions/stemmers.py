@@ -85,6 +85,8 @@ def regions(w: Word, vowels: str, start: int = 0) -> None:
         start = b
 
 
+# Fixed values here and before each language below: the published algorithms' vowels, suffixes and replacements.
+
 # English and Porter
 
 _EN_V = "aeiouy"

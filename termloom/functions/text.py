@@ -33,6 +33,16 @@ def until_nul(text: Column) -> Column:
     return F.substring_index(text, "\0", 1)
 
 
+def to_unicode(raw: Column, errors: str = "strict") -> Column:
+    """Text of UTF-8 bytes; of bad bytes null ("strict"), nothing ("ignore") or U+FFFD ("replace")."""
+    if errors == "strict":
+        return F.when(F.is_valid_utf8(raw), raw.cast("string"))
+    if errors not in ("ignore", "replace"):
+        raise ValueError(f"unknown way with errors: {errors}")
+    replaced = F.make_valid_utf8(raw)
+    return replaced if errors == "replace" else F.when(F.is_valid_utf8(raw), raw.cast("string")).otherwise(F.replace(replaced, F.lit("\ufffd"), F.lit("")))
+
+
 @F.pandas_udf(StringType())
 def utf8_prefix(raw: pd.Series) -> pd.Series:
     """The longest valid UTF-8 prefix without a zero byte; null where it is empty."""
@@ -120,7 +130,7 @@ def decode_entities(text: pd.Series) -> pd.Series:
 
 
 _TRAILING_LANGUAGES = "(?dU)(?:\\n\\[\\[[a-z][a-z][\\w-]*:[^:\\]]+\\]\\])+$"
-#: One round of markup removal: (pattern, replacement).
+#: Fixed values. One round of markup removal: (pattern, replacement).
 ROUND = [
     ("(?s)<!--.*?-->", ""),
     ("(?s)<ref(?:[> ].*?)(?:</ref>|/>)", ""),

@@ -62,3 +62,9 @@ def first_files(files: DataFrame, most: int) -> DataFrame:
     """Of each shard the ``most`` files of least id: a reduce step's fan-in."""
     w = Window.partitionBy("shard").orderBy("file_id")
     return files.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def result_files(index_path: str, spark) -> DataFrame:
+    """(shard, file, bytes) of the files of an index that is written by shard. Only footers are read."""
+    rows = spark.read.parquet(index_path).select("shard", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    return rows.groupBy("shard", "file").agg(F.max("bytes").alias("bytes"))

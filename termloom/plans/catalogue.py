@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -80,6 +81,23 @@ def o14_normalised_texts(spark, sf_dir):
     return d.where("text is not null").select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@query("SELECT doc_id, least(strlen(text), 1000) AS n_bytes FROM documents")
+def o15_capped_bytes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(T.capped_bytes(F.col("text").cast("binary"), 1000)).cast("long").alias("n_bytes"))
+
+
+@query(r"""SELECT lower(w) AS term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{Nd}_-]+')) AS w FROM conversations) GROUP BY ALL""")
+def o19_fold_exact(spark, sf_dir):
+    """Distinct words are folded, then counted under their folded form."""
+    words = table(spark, sf_dir, "conversations").select(F.explode(T.tokens(F.col("text"), flush_tail=True)).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
+    return words.groupBy(T.fold_exact("w").alias("term")).agg(F.sum("k").alias("n"))
+
+
+@query("SELECT doc_id, text FROM documents")
+def o22_to_unicode(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.to_unicode(F.col("text").cast("binary"), "ignore").alias("text"))
+
+
 @query(f"WITH {_TF} SELECT doc_id, term, tf FROM tf")
 def o41_tf_per_doc(spark, sf_dir):
     return index.term_counts(_words(spark, sf_dir))
@@ -143,6 +161,31 @@ def o33_link_labels(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", F.regexp_replace("text", *map(F.lit, T.ROUND[10])).alias("text"))
 
 
+#: A text with each kind of markup, from literals and columns of documents.
+_WIKI = ["'= '", "source", """' =<ref name="n">cited</ref> a<ref name="m"/> b<nowiki>[[x]]</nowiki> <math>x^2</math> '""", "lang", "'\n[[Image:a.png|thumb|'", "lang", "' caption]] text\n[[File:b.png|left|'", "source", "']]\n{| class=t\n|-\n| a '", "'|'", "'| b\n! c\n|}\n[] end'"]
+_WIKI_SQL = " || ".join(x.replace("\n", "' || chr(10) || '") for x in _WIKI)
+
+
+def _wiki(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*(F.lit(x[1:-1]) if x[0] == "'" else F.col(x) for x in _WIKI)).alias("text"))
+
+
+def _markup_query(name: str, step: int):
+    pattern, new = T.ROUND[step]
+
+    def run(spark, sf_dir):
+        return _wiki(spark, sf_dir).select("doc_id", F.regexp_replace("text", F.lit(pattern), F.lit(new)).alias("text"))
+
+    run.__name__ = name
+    quoted = lambda x: x.replace("(?d)", "").replace("$", "\\")
+    new_sql = " || ".join("chr(10)" if x == "\n" else f"'{quoted(x)}'" for x in re.split("(\n)", new) if x) or "''"
+    query(f"SELECT doc_id, regexp_replace({_WIKI_SQL}, '{quoted(pattern)}', {new_sql}, 'g') AS text FROM documents")(run)
+
+
+for _name, _step in (("o26_strip_footnotes", 1), ("o27_strip_nowiki", 2), ("o28_strip_math", 3), ("o32_image_captions", 8), ("o32_file_captions", 9), ("o34_table_cells", 11), ("o36_cell_markers", 13), ("o37_empty_brackets", 14)):
+    _markup_query(_name, _step)
+
+
 @query()
 def o38_plain_text(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", T.plain_text(F.col("text")).alias("text"))
@@ -210,6 +253,13 @@ def o10_partitioned_writer(spark, sf_dir):
     return spark.read.parquet("file://" + folder).groupBy("shard").agg(F.count("*").alias("n_terms"))
 
 
+@query("SELECT CAST(doc_id % 8 AS INTEGER) AS shard, true AS has_files FROM documents GROUP BY ALL")
+def o13c_result_listing(spark, sf_dir):
+    folder = scratch.folder(spark, "listed")
+    index.write(index.build(_words(spark, sf_dir), SHARDS), "file://" + folder)
+    return lineage.result_files("file://" + folder, spark).groupBy("shard").agg((F.min("bytes") > 0).alias("has_files"))
+
+
 @query(_INDEX)
 def o96_stream_index(spark, sf_dir):
     """Documents arrive in four files; the merged index of all micro-batches."""
@@ -242,6 +292,38 @@ def o101_map_reduce(spark, sf_dir):
     return mapreduce.run_reduce_twice(mapped, ["term"], _SumReducer(), 2)
 
 
+class _CountPostings:
+    schema = "term string, df long, total long"
+
+    def __init__(self):
+        self.now = None
+
+    def posting(self, shard, term, doc_id, tf):
+        if self.now and self.now[0] == term:
+            self.now = (term, self.now[1] + 1, self.now[2] + tf)
+            return
+        yield from self.finish()
+        self.now = (term, 1, tf)
+
+    def finish(self):
+        if self.now:
+            yield self.now
+        self.now = None
+
+
+@query(f"WITH {_TF} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM tf GROUP BY ALL")
+def o103_posting_callback(spark, sf_dir):
+    rows = index.term_counts(_words(spark, sf_dir)).withColumn("shard", F.lit(0))
+    return mapreduce.run_callback(rows, _CountPostings)
+
+
+@query("SELECT 'part-' || s_suppkey AS name, CAST(s_suppkey % 8 AS INTEGER) AS shard, s_suppkey * 10 AS bytes FROM supplier")
+def o104_executable(spark, sf_dir):
+    """An executable that answers each line with the report of a file it made."""
+    keys = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return mapreduce.reported_files(mapreduce.pipe(keys, ["awk", '{print "log line"; print "=> part-" $1 " " $1 % 8 " " $1 * 10}']))
+
+
 class _Squares:
     def input(self):
         yield from ((i, i * i) for i in range(100))
