@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from termloom.functions import text as T
 from termloom.functions import values as V
 from termloom.operators.lineage import numbered
+from termloom.sources import scratch
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -57,7 +58,10 @@ def wiki_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def articles(pages: DataFrame, least: int = 500) -> DataFrame:
     """(n, title, text): cleaned texts of more than ``least`` code points, numbered from 1 by title."""
-    kept = pages.select("title", T.plain_text(F.col("text")).alias("text")).where(F.char_length("text") > least)
+    # Written once: the filter, the sampling for the range sort and the sort would each clean the texts anew.
+    spark, path = pages.sparkSession, scratch.folder(pages.sparkSession, "articles")
+    pages.select("title", T.plain_text(F.col("text")).alias("text")).write.parquet(f"file://{path}/cleaned")
+    kept = spark.read.parquet(f"file://{path}/cleaned").where(F.char_length("text") > least)
     return numbered(kept, ["title", "text"], "n", 1).select("n", "title", "text")
 
 
