@@ -22,7 +22,7 @@ from termloom.llm import common as C
 SCALES = (1.0, 1.4, 2.0)
 CORNERS = 16  # a scale and image, the strongest: a feature of the method, images are small
 BITS, RADIUS, TURNS = 128, 9, 32
-MOST_APART, INLIERS, REACH = 28, 4, 5.0
+MOST_APART, MEETINGS, INLIERS, REACH = 24, 3, 8, 5.0
 SIDE = 96
 
 _rng = np.random.default_rng(128)
@@ -207,15 +207,23 @@ def consensus(q: np.ndarray, m: np.ndarray) -> int:
     return best
 
 
+def matches(q_codes: bytes, m_codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (query corner, image corner) of all pairs at most MOST_APART bits apart."""
+    q, m = (np.frombuffer(x, np.uint64).reshape(-1, 2) for x in (q_codes, m_codes))
+    apart = np.bitwise_count(q[:, None, :] ^ m[None, :, :]).sum(axis=2, dtype=np.int64)
+    return np.nonzero(apart <= MOST_APART)
+
+
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(query_id, image_id, n_matches, matches, q points, m points) -> with n_inliers in place of the last three."""
+    """(query_id, image_id, q points, m points, q codes, m codes) -> with n_matches, n_inliers in place of the last four."""
     for t in batches:
-        n_in = []
-        for pairs, q, m in zip(*(t.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-            at = np.array(sorted(pairs), np.int64)
-            x, y = (np.frombuffer(z, np.float32).reshape(-1, 4).astype(float) for z in (q, m))
-            n_in.append(consensus(x[at >> 16], y[at & 0xFFFF]))
-        yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(3)), pa.array(n_in, pa.int64())], ["query_id", "image_id", "n_matches", "n_inliers"])
+        n, n_in = [], []
+        for p, r, x, y in zip(*(t.column(i).to_pylist() for i in range(2, 6)), strict=True):
+            i, j = matches(x, y)
+            q, m = (np.frombuffer(z, np.float32).reshape(-1, 4).astype(float) for z in (p, r))
+            n.append(len(i))
+            n_in.append(consensus(q[i], m[j]))
+        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(n, pa.int64()), pa.array(n_in, pa.int64())], ["query_id", "image_id", "n_matches", "n_inliers"])
 
 
 def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
@@ -226,8 +234,8 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     left out. A query id with several images gets the figures of the best of them for each match.
     Other columns are ignored. Empty tables: no rows.
 
-    Only corner numbers and codes go through the tables; the places of the corners come back to the
-    pairs that have enough matches.
+    Corners meet in the tables; a pair of images with MEETINGS of them is then judged on all its
+    corners, so a pair's figures are those of a search without tables, which can only miss pairs.
     """
     index = C.keep(described(images).groupBy("sha").agg(F.min_by(F.struct("id", "n", "points", "codes"), "id").alias("r"), F.count("*").alias("n_copies")).select("r.*", "n_copies"))
     # a query is one file under one id
@@ -236,9 +244,9 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     bits = int(min(32, max(16, np.ceil(np.log2(corners)))))  # buckets of about one corner at any size
     met = tables(asked, bits).alias("q").join(tables(index, bits).alias("m"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
     pairs = met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match"))
-    pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= INLIERS)
-    pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points")), "m")
-    got = pairs.select("query_id", F.col("m").alias("image_id"), F.size("matches").cast("long").alias("n_matches"), "matches", "q_points", "m_points").mapInArrow(_agreeing, "query_id long, image_id long, n_matches long, n_inliers long")
+    pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= MEETINGS)
+    pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points"), F.col("codes").alias("q_codes")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points"), F.col("codes").alias("m_codes")), "m")
+    got = pairs.select("query_id", F.col("m").alias("image_id"), "q_points", "m_points", "q_codes", "m_codes").mapInArrow(_agreeing, "query_id long, image_id long, n_matches long, n_inliers long")
     best = got.where(f"n_inliers >= {INLIERS}").groupBy("query_id", "image_id").agg(F.max("n_matches").alias("n_matches"), F.max("n_inliers").alias("n_inliers"))
     return best.join(index.select(F.col("id").alias("image_id"), "n_copies"), "image_id").select("query_id", "image_id", "n_copies", "n_matches", "n_inliers")
 

@@ -29,3 +29,19 @@ def test_copies_are_found(spark):
     assert [(x.image_id, x.n_copies) for x in same] == [(3, 3)]
     empty = spark.createDataFrame([], "id long, image binary")
     assert M.find_copies(empty, empty).count() == 0
+
+
+def test_tables_find_what_a_full_search_finds(spark):
+    r = np.random.default_rng(6)
+    v = spark.createDataFrame([(i, r.normal(size=64).tolist()) for i in range(150)], "id long, vector array<double>").repartition(3)
+    q = v.where("id % 5 = 0")
+    got = {(x.query_id, x.image_id) for x in M.find_copies(M.rendered(q, copies=True), M.rendered(v)).collect()}
+    asked, index = (M.described(x).collect() for x in (M.rendered(q, copies=True), M.rendered(v)))
+    want = set()
+    for a in asked:
+        for b in index:
+            i, j = M.matches(a.codes, b.codes)
+            p, s = (np.frombuffer(x.points, np.float32).reshape(-1, 4).astype(float) for x in (a, b))
+            if M.consensus(p[i], s[j]) >= M.INLIERS:
+                want.add((a.id, b.id))
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 27
