@@ -4,7 +4,9 @@ Plan.
 1. Anchors: of every ``window``-byte string the 64-byte gram with the least hash is an anchor, so
    equal strings hold the same anchor at the same place. An anchor whose hash occurs once in the
    corpus can't lie in a repeated string. Anchors with equal surroundings (all strings through the
-   anchor equal) are settled by counting alone. What is left are the borders of repeated passages.
+   anchor equal) are settled by counting alone. What is left are the borders of
+   repeated passages: every string through an anchor whose surroundings occur
+   once, also one that another anchor has settled, for other copies may hold it without that one.
 2. Shards: documents with such borders are taken in shards of bounded size. Each shard builds the
    suffix array of its border regions (Larsson-Sadakane prefix doubling that sorts only groups that
    are still tied), common prefixes of neighbours (Kasai's permuted form: only irreducible
@@ -201,7 +203,8 @@ def shard_marks(texts: list[np.ndarray], lists: list[tuple[np.ndarray, ...]], wi
             np.add.at(y[row], hi[ok], -1)
         cov = np.cumsum(y, axis=1)[:, :m] > 0
         marks.append(cov[0])
-        border = cov[2] | (cov[1] & ~cov[0])
+        # also settled ones: a text that lacks the settled anchor has only this one to meet them by
+        border = cov[2] | cov[1]
         opens.append(border)
         for s, e in zip(*_runs(border), strict=True):
             regions.append((i, s, e))

@@ -69,6 +69,22 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         assert sum(w[1] for w in want) > 0
 
 
+def test_repeats_of_a_part_of_a_passage_held_in_full_by_others(spark):
+    """Groups of two full copies of a passage and a text with a part of it: all are cut in full."""
+    rows, r = [], random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    for _ in range(120):
+        passage = text(r.randint(1000, 1600))
+        size = r.randint(400, 700)
+        a = r.randint(0, len(passage) - size)
+        for part in (passage, passage, passage[a : a + size]):
+            rows.append((len(rows), text(r.randint(0, 500)) + part + text(r.randint(0, 500))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: tuple(x)[1:] for x in suffix_dedup.digest(df, 400).collect()}
+    want = naive_repeats([t.encode() for _, t in rows], 400)
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_repeats_of_long_documents_and_empty_tables(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup.C, "BLOCK", 2000)
     rows = [(i, " ".join(t or "" for _, t in corpus(i, 12))) for i in range(3)] + [(3, corpus(1, 12)[4][1] * 3)]
