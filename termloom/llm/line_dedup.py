@@ -1,9 +1,9 @@
 """Removal of repeated and nearly repeated lines by a deletion-neighbourhood join (operator 2).
 
-Lines of at least ``min_chars`` code points are compared. Two lines are alike if they are equal or
-one edit (insertion, deletion, substitution of a code point) apart. Equal lines collapse by
-aggregation. For the rest, each line emits every variant with one code point deleted as a hashed
-key: an insertion or deletion makes one line equal a variant of the other, a substitution makes two
+Lines of at least ``min_chars`` code points are compared, with ``short`` also shorter ones that aren't
+blank, for equality alone. Two lines are alike if they are equal or one edit (insertion, deletion,
+substitution of a code point) apart. Equal lines collapse by aggregation.
+For the rest, each line emits every variant with one code point deleted as a hashed key: an insertion or deletion makes one line equal a variant of the other, a substitution makes two
 variants with the deletion at one place equal. Lines of a key and place are joined to the earliest
 of them only, and so are a line and the variants that equal it (for one edit that loses nothing: all
 of them are within the bound), and the edit distance is verified. A line goes if an earlier one is
@@ -52,9 +52,12 @@ def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(place), t.column(0).slice(i, 1).take(pa.array(np.zeros(len(key), np.int32)))], ["key", "place", "id"])
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, short: bool) -> DataFrame:
     rows = docs.where("text is not null").select("_ord", "_key", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.where(F.char_length("line") >= min_chars).select(F.struct(F.coalesce("_ord", F.lit(-(1 << 63))).alias("d"), F.col("_key").alias("k"), "pos").alias("at"), "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
+    compared = F.char_length("line") >= min_chars
+    if short:
+        compared = compared | F.col("line").rlike("\\S")
+    return rows.where(compared).select(F.struct(F.coalesce("_ord", F.lit(-(1 << 63))).alias("d"), F.col("_key").alias("k"), "pos").alias("at"), "line", F.xxhash64("line").alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
 
 
 def _halves():
@@ -98,10 +101,11 @@ def _alike(texts: DataFrame) -> DataFrame:
     return met.join(a, "id").join(b, "other").where(F.levenshtein("line", "before", 1) >= 0).select("id").distinct()
 
 
-def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(_key, gone): ascending numbers of the lines to remove from each text of (_ord, _key, text)."""
-    spark, lines = docs.sparkSession, _lines(docs, min_chars)
-    once = C.keep(lines.groupBy("id", "id2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(_halves()).alias("halves")))
+    spark, lines = docs.sparkSession, _lines(docs, min_chars, short)
+    halves = F.when(F.char_length("line") >= min_chars, _halves())  # null: no one-edit match
+    once = C.keep(lines.groupBy("id", "id2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(halves).alias("halves")))
     texts = _suspects(docs, once)
     C.release(spark)
     alike = _alike(texts).withColumn("near", F.lit(True))
@@ -134,17 +138,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_ord", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))))
 
 
-def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, columns: tuple[str, ...] = ()) -> DataFrame:
+def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, columns: tuple[str, ...] = (), short: bool = False) -> DataFrame:
     """``docs`` (doc_id, text and ``columns``) without its repeated lines, and n_lines, n_dropped.
 
     Lines end at \\n. Order is (doc_id, text key, line number); the earliest line stays. Lines
-    shorter than ``min_chars`` always stay. Null text stays null with 0 lines; an empty text has one
+    shorter than ``min_chars`` stay; with ``short`` those that aren't blank go if an earlier line is
+    equal. Null text stays null with 0 lines; an empty text has one
     empty line. Rows that repeat both doc_id and text count as one document and lose the same lines.
     Null doc_ids come first. Other columns are untouched; an empty table gives no rows.
     """
     names = list(dict.fromkeys(["doc_id", "text", *columns]))
     d = _keyed(docs.select(*names).withColumn("text", F.col("text").cast("string")))
-    gone = drops(d.select("_ord", "_key", "text"), min_chars)
+    gone = drops(d.select("_ord", "_key", "text"), min_chars, short)
     rest = [c for c in names if c != "text"]
     schema = ", ".join([f"`{c}` {t}" for c, t in d.select(*rest).dtypes] + ["text string, n_lines long, n_dropped long"])
     out = d.join(gone.hint("merge"), "_key", "left").select(*rest, "text", "gone").mapInArrow(_cut(len(rest)), schema)
@@ -152,5 +157,5 @@ def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, columns: tuple[str
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_lines(C.documents(spark, sf_dir))
+    out = remove_lines(C.documents(spark, sf_dir), short=True)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

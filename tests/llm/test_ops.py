@@ -142,6 +142,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert line_dedup.remove_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    texts = [(1, "Les.\nLes\n\n \nLes."), (2, "Les\n\n \nLess\nThe same line"), (3, "Less\n👍\n👍\nThe same lin"), (4, "abcdefghi\nabcdefghij"), (5, None)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_lines, x.n_dropped, x.text) for x in line_dedup.remove_lines(df, short=True).collect()}
+    assert got == {1: (5, 1, "Les.\nLes\n\n "), 2: (5, 1, "\n \nLess\nThe same line"), 3: (4, 3, "👍"), 4: (2, 0, "abcdefghi\nabcdefghij"), 5: (0, 0, None)}
+
+
+def test_line_dedup_query_drops_every_exact_repeat(spark):
+    seen, want = set(), {}
+    for d, t in sorted(rows_of(spark.read.parquet(f"{SF}/documents.parquet"))):
+        lines = (t or "").split("\n")
+        want[d] = sum(x in seen or seen.add(x) is not None for x in lines if x.strip())
+    got = {x.doc_id: x.n_dropped for x in line_dedup.op2_line_dedup(spark, SF).collect()}
+    assert set(got) == set(want) and all(got[d] >= n for d, n in want.items()) and sum(want.values()) > 0
+
+
 def naive_lm(rows):
     tok = {}
     for i, (d, t) in enumerate(rows):
