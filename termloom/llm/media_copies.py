@@ -23,6 +23,9 @@ SCALES = (1.0, 1.4, 2.0)
 CORNERS = 16  # a scale and image, the strongest: a feature of the method, images are small
 BITS, RADIUS, TURNS = 128, 9, 32
 MOST_APART, MEETINGS, INLIERS, REACH = 24, 3, 8, 5.0
+#: Width of a table's block, at any size of the input. A query also asks for the keys one bit from its
+#: own: of eight blocks one has at most one of 15 different bits, so corners so near always meet.
+BLOCK_BITS = 16
 SIDE = 96
 
 _rng = np.random.default_rng(128)
@@ -174,22 +177,27 @@ def described(images: DataFrame) -> DataFrame:
     return images.where("id is not null").select(F.col("id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, DESCRIBED)
 
 
-def tables(images: DataFrame, bits: int) -> DataFrame:
-    """TABLE of (id, codes): a row for each corner and table, whose block of ``bits`` bits is in the key."""
+def tables(images: DataFrame, near: bool = False) -> DataFrame:
+    """TABLE of (id, codes): a row for each corner and table, whose block of BLOCK_BITS bits is in the key.
+
+    With ``near`` also rows for the keys one bit from it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, count = 1 << np.arange(bits, dtype=np.int64), BITS // bits
+        weight, count = 1 << np.arange(BLOCK_BITS, dtype=np.int64), BITS // BLOCK_BITS
+        flips = np.concatenate(([0], weight)) if near else np.zeros(1, np.int64)
+        rows, step = count * len(flips), (1 << 14) // len(flips)
         for t in batches:
             raw, offs = C.column_bytes(t.column(1))
             code, size = raw.view(np.uint64).reshape(-1, 2), np.diff(offs) // 16
             no = np.arange(len(code)) - np.repeat(offs[:-1] // 16, size)
             ids = np.repeat(t.column(0).to_numpy(), size)
-            for a in range(0, len(code), 1 << 14):
-                x = code[a : a + (1 << 14)]
-                b = np.unpackbits(x.view(np.uint8), axis=1)[:, : bits * count].reshape(len(x), count, bits)
-                key = ((b @ weight) | np.arange(count, dtype=np.int64) << 40).ravel()
-                y, at = np.repeat(x.view(np.int64), count, axis=0), slice(a, a + len(x))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids[at], count)), pa.array(np.repeat(no[at], count).astype(np.int32)), pa.array(y[:, 0].copy()), pa.array(y[:, 1].copy())], ["key", "id", "no", "d_0", "d_1"])
+            for a in range(0, len(code), step):
+                x = code[a : a + step]
+                b = np.unpackbits(x.view(np.uint8), axis=1).reshape(len(x), count, BLOCK_BITS)
+                key = ((b @ weight)[:, :, None] ^ flips | (np.arange(count, dtype=np.int64) << 40)[:, None]).ravel()
+                y, at = np.repeat(x.view(np.int64), rows, axis=0), slice(a, a + len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids[at], rows)), pa.array(np.repeat(no[at], rows).astype(np.int32)), pa.array(y[:, 0].copy()), pa.array(y[:, 1].copy())], ["key", "id", "no", "d_0", "d_1"])
 
     return images.select("id", "codes").mapInArrow(run, TABLE)
 
@@ -240,9 +248,8 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     index = C.keep(described(images).groupBy("sha").agg(F.min_by(F.struct("id", "n", "points", "codes"), "id").alias("r"), F.count("*").alias("n_copies")).select("r.*", "n_copies"))
     # a query is one file under one id
     asked = C.keep(described(queries).withColumn("query_id", F.col("id")).withColumn("id", F.xxhash64("id", "sha")).dropDuplicates(["id"]).drop("sha"))
-    corners = max(index.agg(F.sum("n")).first()[0] or 0, 2)
-    bits = int(min(32, max(16, np.ceil(np.log2(corners)))))  # buckets of about one corner at any size
-    met = tables(asked, bits).alias("q").join(tables(index, bits).alias("m"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
+    # a large bucket is split by Spark: what follows the join is dealt by other keys
+    met = tables(asked, near=True).alias("q").join(tables(index).alias("m"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
     pairs = met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match"))
     pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= MEETINGS)
     pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points"), F.col("codes").alias("q_codes")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points"), F.col("codes").alias("m_codes")), "m")

@@ -45,3 +45,41 @@ def test_tables_find_what_a_full_search_finds(spark):
             if M.consensus(p[i], s[j]) >= M.INLIERS:
                 want.add((a.id, b.id))
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) >= 27
+
+
+def test_corners_meet_at_any_number_of_rows(spark):
+    """Share of corners that meet in a table by their distance, also with many more rows beside them."""
+    r = np.random.default_rng(7)
+    n, apart = 300, (1, 10, 15, 16, 20, 24)
+    bits = r.integers(0, 2, (n, M.BITS)).astype(np.uint8)
+    asked, index = [(0, np.packbits(bits, axis=1).tobytes())], [(1000, r.bytes(16 * 200_000))]
+    for d in apart:
+        other = bits.copy()
+        for row in other:
+            row[r.permutation(M.BITS)[:d]] ^= 1
+        index.append((d, np.packbits(other, axis=1).tobytes()))
+    q, m = (M.tables(spark.createDataFrame(x, "id long, codes binary"), *near) for x, near in ((asked, [True]), (index, [])))
+    met = q.alias("q").join(m.alias("m"), "key").where("m.id < 1000 and q.no = m.no").select("m.id", "m.no").distinct().groupBy("id").count()
+    share = {x.id: x["count"] / n for x in met.collect()}
+    assert share[1] == share[10] == share[15] == 1 and share[16] > 0.95 and share[20] > 0.8 and share[24] > 0.65
+
+
+def test_stronger_edits_found_as_by_a_full_search(spark):
+    r = np.random.default_rng(8)
+    images, asked = [], []
+    for i in range(100):
+        x = M.render(r.normal(size=64).tolist())
+        y = x[8:88, 8:88].astype(np.float32) * 0.7 + r.normal(0, 3 + 2 * (i % 5), (80, 80))
+        images.append((i, M.encode_pgm(x)))
+        asked.append((i, M.encode_pgm(np.clip(y, 0, 255).astype(np.uint8))))
+    a, b = (spark.createDataFrame(x, "id long, image binary") for x in (asked, images))
+    got = {(x.query_id, x.image_id) for x in M.find_copies(a, b).collect()}
+    want = set()
+    q, m = (M.described(x).collect() for x in (a, b))
+    for x in q:
+        for y in m:
+            i, j = M.matches(x.codes, y.codes)
+            p, s = (np.frombuffer(z.points, np.float32).reshape(-1, 4).astype(float) for z in (x, y))
+            if len(i) >= M.INLIERS and M.consensus(p[i], s[j]) >= M.INLIERS:
+                want.add((x.id, y.id))
+    assert got == want and len(want) > 40
