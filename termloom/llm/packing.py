@@ -1,15 +1,21 @@
 """Best-fit packing of documents into sequences of bounded length (operator 6).
 
-Bulk-synchronous best fit. Pieces are dealt evenly into groups of bounded size, which pack in
-parallel; a group loses at most its last, partly filled sequence to that. Within a group each round
-sorts the unplaced pieces and the open gaps by size, sends every piece to its successor (the
-smallest gap that holds it) in one sweep, lets pieces that want gaps of one size take them by rank,
-updates the gaps, and repeats. Only when nothing fits, new sequences open: as many as the
-waiting tokens need at least, begun by the longest pieces.
+Bulk-synchronous best fit over the whole table, one packing at any size. A round takes the pieces of
+one length, longest first, and the gaps, each range-sorted: pieces by (length, doc_id, piece), gaps
+by size. Pieces of one length are alike for the match, and so are gaps of one size; both are runs
+(length, count), so that a round's successor sweep, which gives the runs the smallest gaps that hold
+them, updates the gaps and repeats, handles at most ``length`` runs of pieces however many rows they
+stand for. Pieces that want gaps of one size take them by rank. The sweep over the rows is
+distributed: each range partition walks its sorted pieces against the sorted runs of gaps, finds a
+piece's run by binary search on its rank, and its sequence and offset by its rank within the run.
+
+Through the driver go one count for each length (at most ``length``) and one for each partition; the
+runs of gaps that every task gets are a few for each length, whatever the number of documents.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import re
 import unicodedata
@@ -19,26 +25,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe
 from termloom.llm import common as C
 
-LENGTH, END, GROUP = 4096, 1, 25_000
-
+LENGTH, END = 4096, 1
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: The pre-tokenizer's pattern, and the same for texts of ASCII alone.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.A)
 
 
+def old_code_points() -> str:
+    """Inside of a character class: the code points below U+10000 that Unicode 3.2 assigns."""
+    old = unicodedata.ucd_3_2_0.category
+    known = np.array([old(chr(c)) not in ("Cn", "Cs", "Co") for c in range(0x10000)])
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], known.astype(np.int8), [0]))))
+    return "".join(f"\\u{a:04x}-\\u{b - 1:04x}" for a, b in edges.reshape(-1, 2).tolist())
+
+
 class Ids:
     """Ids of the word-splitting tokenizer file as little-endian unsigned 32-bit bytes.
 
     Each distinct word is encoded once a worker. Texts that hold an added token's string, a sigma
-    (whose lower case Python makes depend on what is around it) or one of the control characters
-    that Python and the tokenizer class differently go through the library whole.
+    (whose lower case Python makes depend on what is around it), one of the control characters that
+    Python and the tokenizer class differently, or a code point that is not in the first plane of
+    Unicode 3.2 (later ones are in the tables of one and not of the other) go through the library
+    whole.
     """
 
     def __init__(self, path: str):
@@ -46,7 +63,7 @@ class Ids:
         self.tok.no_truncation()
         self.tok.no_padding()
         added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f\u03a3]", *added]))
+        self.whole = re.compile("|".join(["[\x1c-\x1f\u03a3]", f"[^{old_code_points()}]", *added]))
         kind = json.loads(self.tok.to_str())
         patterns = [x["pattern"].get("Regex") for x in (kind["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split"]
         self.known = patterns == [_SPLIT.pattern] and [x["type"] for x in (kind["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
@@ -85,47 +102,72 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()], strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
-
-
-def best_fit(size: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each piece; sizes are 1..length."""
-    n = len(size)
-    seq, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
-    todo = np.argsort(-size, kind="stable")
-    gap = np.zeros(0, np.int64)
-    while len(todo):
-        now = todo[size[todo] * 2 > size[todo[0]]]  # the largest size class
-        rest = todo[len(now) :]
-        while len(now):
-            order = np.argsort(gap, kind="stable")
-            g = gap[order]
-            want = np.searchsorted(g, size[now], "left")
-            fits = want < len(g)
-            # pieces that want one gap size take the gaps of that size by rank
-            first = np.concatenate(([True], want[1:] != want[:-1]))
-            rank = np.arange(len(now)) - np.maximum.accumulate(np.where(first, np.arange(len(now)), 0))
-            same = np.searchsorted(g, g[np.minimum(want, len(g) - 1)], "right") - want if len(g) else np.zeros(len(now), np.int64)
-            win = fits & (rank < same)
-            if win.any():
-                p, at = now[win], order[(want + rank)[win]]
-            else:
-                k = min(len(now), int(-(-size[now].sum() // length)))
-                p, at = now[:k], np.arange(len(gap), len(gap) + k)
-                gap = np.concatenate((gap, np.full(k, length, np.int64)))
-                win = np.arange(len(now)) < k
-            seq[p], place[p] = at, length - gap[at]
-            gap[at] -= size[p]
-            now = now[~win]
-        todo = rest
-    return seq, place
-
-
-def _group(length: int):
-    def run(t: pa.Table) -> pa.Table:
-        seq, place = best_fit(t.column("length").to_numpy(), length)
-        g = t.column("_g")[0].as_py()
-        return t.drop_columns(["_g"]).append_column("sequence_id", pa.array(seq + (g << 40))).append_column("offset", pa.array(place))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, PIECE)
+
+
+def gap_runs(counts: np.ndarray, length: int) -> np.ndarray:
+    """Where the pieces go: rows (first place, sequence, pieces a sequence, offset, size) of best fit.
+
+    counts[s] is the number of pieces of size s. Pieces stand in one order, longest first. The piece
+    at place p of the row's first place f is in sequence + (p - f) // pieces, at offset + size *
+    ((p - f) % pieces). A gap run is (sequence, number of sequences, gap); gaps of one size stand in
+    one stack. For each size the smallest gap that holds it is filled as often as it can be.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    stacks: list[list[tuple[int, int]]] = [[] for _ in range(length + 1)]
+    sizes: list[int] = []  # those whose stack isn't empty, ascending
+    place = opened = 0
+
+    def put(sequence: int, number: int, gap: int) -> None:
+        if gap and number:
+            if not stacks[gap]:
+                bisect.insort(sizes, gap)
+            stacks[gap].append((sequence, number))
+
+    for size in range(length, 0, -1):
+        left = int(counts[size])
+        while left:
+            at = bisect.bisect_left(sizes, size)
+            if at == len(sizes):  # nothing holds it: as many sequences open as the rest needs
+                put(opened, -(-left // (length // size)), length)
+                opened += -(-left // (length // size))
+                continue
+            gap = sizes[at]
+            sequence, number = stacks[gap].pop()
+            if not stacks[gap]:
+                del sizes[at]
+            each = gap // size
+            full = min(number, left // each)
+            if full:
+                out.append((place, sequence, each, length - gap, size))
+                put(sequence, full, gap - each * size)
+            else:  # the last of a size, fewer than the gap holds
+                each, full = left, 1
+                out.append((place, sequence, each, length - gap, size))
+                put(sequence, 1, gap - each * size)
+            put(sequence + full, number - full, gap)
+            place, left = place + full * each, left - full * each
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the range partition's number and the row's place in it."""
+    part, n = TaskContext.get().partitionId(), 0
+    for t in batches:
+        yield pa.RecordBatch.from_arrays([*t.columns[:5], pa.array(np.full(len(t), part, np.int32)), pa.array(np.arange(n, n + len(t)))], [*t.schema.names[:5], "_p", "_i"])
+        n += len(t)
+
+
+def _swept(first: dict[int, int], runs: np.ndarray):
+    """The rows of range partitions, whose first places are given, with sequence_id and offset."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            parts, at = np.unique(t.column(5).to_numpy(), return_inverse=True)
+            place = np.array([first[p] for p in parts.tolist()], np.int64)[at] + t.column(6).to_numpy()
+            f, sequence, each, offset, size = runs[np.searchsorted(runs[:, 0], place, "right") - 1].T
+            k = place - f
+            yield pa.RecordBatch.from_arrays([*t.columns[:5], pa.array(sequence + k // each), pa.array(offset + k % each * size)], [*t.schema.names[:5], "sequence_id", "offset"])
 
     return run
 
@@ -135,14 +177,21 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
 
     A document is its ids and ``end``. Null or empty text: the end id alone. doc_id may be null or
     repeat; each row is a document. Documents of up to ``length`` ids stay whole. Offsets of a
-    sequence start at 0 and leave no gap. Other columns are ignored; an empty table gives no rows.
+    sequence start at 0 and leave no gap. Ties between pieces of a length go by doc_id and piece;
+    rows alike in those take what is left in any order. Other columns, whatever their names, are
+    ignored; an empty table gives no rows. A text of any length is one row's ids in memory.
     """
-    p = C.keep(pieces(docs, path, length, end))
-    groups = max(1, -(-p.count() // GROUP))
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(groups))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    # rows that are alike in all columns are dealt by their place in the kept table
-    return p.withColumn("_g", F.pmod(deal + F.monotonically_increasing_id(), F.lit(groups))).groupBy("_g").applyInArrow(_group(length), schema)
+    # the row's place in its file spreads rows that repeat a doc_id over the ranges
+    p = C.keep(pieces(docs, path, length, end)).withColumn("_row", F.monotonically_increasing_id())
+    order = [F.col("length").desc(), "doc_id", "piece", "_row"]
+    ranged = C.keep(p.repartitionByRange(*order).sortWithinPartitions(*order).drop("_row").mapInArrow(_in_order, PIECE + ", _p int, _i long"))
+    counts = np.zeros(length + 1, np.int64)
+    for size, n in ranged.groupBy("length").agg(F.count("*")).collect():
+        counts[size] = n
+    first, at = {}, 0
+    for part, n in ranged.groupBy("_p").agg(F.count("*")).orderBy("_p").collect():
+        first[part], at = at, at + n
+    return ranged.mapInArrow(_swept(first, gap_runs(counts, length)), PIECE + ", sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

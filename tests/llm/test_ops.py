@@ -1,5 +1,6 @@
 """Operators 2, 4, 5, 6, 7, 8, 10 against brute force or the library."""
 
+import bisect
 import collections
 import hashlib
 import math
@@ -75,24 +76,55 @@ def test_packing(spark, docs):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
-def test_best_fit_is_tight():
+def best_fit_counts(sizes, length):
+    """Gaps left by best fit one piece at a time, longest first."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        gap = gaps.pop(at) if at < len(gaps) else length
+        bisect.insort(gaps, gap - s)
+    return gaps
+
+
+def test_gap_runs_equal_best_fit_piece_by_piece():
     r = np.random.default_rng(3)
-    for sizes in (r.integers(1, 4097, 3000), np.minimum(r.lognormal(6, 1, 9000).astype(int) + 1, 4096), np.full(100, 1366), np.ones(5, int)):
-        seq, place = packing.best_fit(sizes, 4096)
-        fill = np.bincount(seq, sizes)
-        assert (seq >= 0).all() and fill.max() <= 4096
-        bins = []
-        for s in sorted(sizes, reverse=True)[:9000]:
-            fit = [i for i in range(len(bins)) if bins[i] >= s] if len(sizes) < 200 else None
-            if fit is None:
-                break
-            j = min(fit, key=lambda i: bins[i], default=None)
-            if j is None:
-                bins.append(4096 - s)
-            else:
-                bins[j] -= s
-        bound = len(bins) if len(sizes) < 200 else max(-(-int(sizes.sum()) // 4096), int((sizes > 2048).sum()))
-        assert len(fill) <= bound * 1.02 + 1
+    for length, sizes in ((4096, r.integers(1, 4097, 3000)), (4096, np.minimum(r.lognormal(6, 1, 9000).astype(int) + 1, 4096)), (4096, np.full(100, 1366)), (50, r.integers(1, 51, 400)), (9, np.ones(5, int)), (7, np.array([7, 7, 3])), (5, np.zeros(0, int))):
+        runs = packing.gap_runs(np.bincount(sizes, minlength=length + 1), length)
+        order = np.sort(sizes)[::-1]
+        filled = collections.defaultdict(list)
+        for place, size in enumerate(order.tolist()):
+            f, sequence, each, offset, own = runs[np.searchsorted(runs[:, 0], place, "right") - 1].tolist()
+            assert own == size
+            filled[sequence + (place - f) // each].append((offset + (place - f) % each * size, size))
+        for parts in filled.values():
+            parts.sort()
+            assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))]
+        assert sorted(length - sum(n for _, n in x) for x in filled.values()) == best_fit_counts(sizes.tolist(), length)
+
+
+def test_packing_of_equal_pieces_over_partitions(spark):
+    """Rows alike in all columns, clashing names, null ids: one packing, no sequence wasted."""
+    path = bpe.default_path("word_bpe_49k.json")
+    rows = [(None if i % 50 == 0 else i % 7, "same words here " * (1 + i % 3 * 300), 5, "x", 1) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, length int, _p string, piece int").repartition(7)
+    got = packing.pack(df, path).collect()
+    sizes = [x.length for x in got]
+    lib = bpe.Tokenizer.from_file(path)
+    size = {t: len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in {x[1] for x in rows}}
+    assert collections.Counter(sizes) == collections.Counter(size[x[1]] for x in rows)
+    assert len({(x.sequence_id, x.offset) for x in got}) == len(got)
+    assert len({x.sequence_id for x in got}) == len(best_fit_counts(sizes, 4096))
+
+
+def test_packing_ids_of_all_code_points():
+    """Those that the library may class otherwise go through it; the others are compared in context."""
+    ids = packing.Ids(bpe.default_path("word_bpe_49k.json"))
+    own = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not ids.whole.search(chr(c))]
+    assert 40_000 < len(own) < 60_000 and max(own) < 0x10000
+    for at in range(0, len(own), 8000):
+        texts = [" | ".join(x.format(chr(c)) for x in ("{}", "a{}b", "1{}2", "!{}!", " {} ", "e{}", "'{}s", "{}\u0301", "A{0}{0}Z")) for c in own[at : at + 8000]]
+        for t, e in zip(texts, ids.tok.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(ids(t), "<u4").tolist() == e.ids, repr(t)
 
 
 def naive_lines(rows, least):
