@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -251,6 +252,74 @@ def test_html_of_pages(spark):
         assert got[r.page_id] == "\n".join(x for x in blocks if x)
 
 
+ARTICLE = "<h1>Title of it</h1><p>One two three four five six seven eight nine ten. And many more words follow here so that it is an article of some size.</p><p>Second paragraph with words and words and words, at least as many as are in the first one.</p>"
+ARTICLE_TEXT = "\n".join(re.findall(r">([^<]+)<", ARTICLE))
+MENU = '<nav><ul><li><a href="/a">menu one</a></li><li><a href="/b">menu two</a></li></ul></nav>'
+
+
+@pytest.fixture(scope="module")
+def weights(spark):
+    return html_text.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+
+
+@pytest.mark.parametrize("around", ['<div class="content has-sidebar">', '<div class="no-sidebar main-content">', '<div class="entry search-result">', '<div class="post-header-wrap">', '<div class="share-price-article">', '<div class="navigation-guide">', '<section class="comments-open post">', '<form id="aspnetForm">', "<div>", "<article>", '<main id="main">', '<div hidden class="page">', '<div id="articleBody">'])
+def test_html_of_named_containers(weights, around):
+    name = re.match(r"<(\w+)", around)[1]
+    plain = MENU, "<footer>copy right words</footer>"
+    more = '<div id="header"><a>Site name</a></div>' + MENU, '<div class="sidebar"><p>some words at the side</p></div><div id="comments"><p>A reader says that this is all very good and so on.</p></div><div class="cookie-notice">We use cookies</div><div class="newsletterSignup">Get it</div><article class="comment"><p>Me too.</p></article>'
+    for before, after in (plain, more):
+        assert html_text.extract(f"<html><body>{before}{around}{ARTICLE}</{name}>{after}</body></html>", weights) == ARTICLE_TEXT
+
+
+def test_html_of_two_articles(weights):
+    links = "<ul>" + '<li><a href="/x">other link</a></li>' * 6 + "</ul>"
+    got = html_text.extract(f"<body>{MENU}<article>{ARTICLE}{ARTICLE}</article>{links}<article>{ARTICLE}</article><footer>end</footer></body>", weights)
+    assert got.count("Title of it") == 3
+
+
+def test_html_of_malformed_tags(weights):
+    p = "<p>Enough words to be kept as one paragraph of the page, whatever comes.</p>"
+    for page, want in (
+        ('<p>a < b and c <d> e &lt;f</p>', "a < b and c e <f"),
+        ("<p title=\"a > b\" data-x='<b>x</b>'>one <b class=x>two</b></p>", "one two"),
+        ('<p>one <a title="x>link</a> two</p>', "one link two"),
+        ('<p>one <a title="x>link</a> two <a href="y">three</a></p>', "one link two three"),
+        ("<p>one</p><!-- two --><!--> three <!-- four", "one\nthree"),
+        ("<p>one<script>if (a < b) { '</p>' }</SCRIPT > two<style>p", "one two"),
+        ("<p>one</b></i> two</x><br/>three</p", "one two three"),
+        ("<ul><li>one<li>two<b>!</ul>", "one\ntwo!"),
+        ("<p>one<![CDATA[ <b>x ]]> two<?php x ?> three</>", "one two three"),
+    ):
+        assert html_text.extract(page, html_text.Weights()) == want, page
+        assert html_text.extract(p + page, weights).startswith("Enough words")
+
+
+def test_html_in_linear_time(weights):
+    for page in ("<a " * 350_000 + '"', '<a t="' * 180_000, "<a t='x\">" * 120_000, "<div>" * 90_000 + "</b>" * 90_000, "<b>" * 100_000 + "<div>" + "</b>" * 100_000 + "<p>x" * 50_000, "<!--" * 250_000, "<" * 1_000_000, "<ul><li>" * 60_000 + "</ul>" * 60_000, "<script>" * 120_000, "&amp;" * 200_000):
+        start = time.perf_counter()
+        html_text.extract(page, weights)
+        assert time.perf_counter() - start < 8
+    assert html_text.extract("<p>" + "word " * 300_000 + "</p>", weights) == "word " * 299_999 + "word"
+
+
+def test_html_scan_equals_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        x = [r.randint(-5, 5) for _ in range(r.randint(0, 12))]
+        a, b = html_text.best_region(x)
+        sums = [sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)]
+        assert sum(x[a:b]) == max([0, *sums])
+
+
+def test_html_rows(spark, weights):
+    rows = [(1, "u", "<p>one two</p>", "x"), (1, "u", "<p>one two</p>", "x"), (None, None, None, "y"), (2, None, "", "z"), (3, "v", "<nav>a</nav>", "w")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(3)
+    got = collections.Counter(map(tuple, html_text.main_text(df, weights).collect()))
+    assert got == collections.Counter({(1, "u", "one two", 7): 2, (None, None, "", 0): 1, (2, None, "", 0): 1, (3, "v", "", 0): 1})
+    empty = df.where("false")
+    assert html_text.main_text(empty, html_text.learn(empty)).count() == 0
+
+
 def test_simhash(spark, docs):
     got = simhash.compare_edited(docs.select("doc_id", "text", "lang")).collect()
     rows = {(d, t or "") for d, t in rows_of(docs)}
