@@ -261,10 +261,10 @@ class Weights:
                 inside = a <= e[3] and e[4] <= b or e[3] <= a and b <= e[4]  # or around it
                 names[inside][e[0]] += 1
                 words[inside].update(set(e[1]))
-        for table, seen, most in ((self.name, names, 1.5), (self.word, words, 3.0)):
+        for table, seen, most in ((self.name, names, 1.5), (self.word, words, 2.0)):
             for k in set(seen[True]) | set(seen[False]):
                 if (table is self.word or k in NAME_GUESS) and seen[True][k] + seen[False][k] >= 5:
-                    table[k] = table.get(k, 0.0) + _odds(seen[True][k], seen[False][k], most)
+                    table[k] = max(-4.0, min(2.0, table.get(k, 0.0) + _odds(seen[True][k], seen[False][k], most)))
         for k in set(tags[True]) | set(tags[False]):
             self.tag[k] = -0.05 - max(0.0, -_odds(tags[True][k], tags[False][k], 2.0))
         count = {(x, y): 0 for x in (True, False) for y in (True, False)}
