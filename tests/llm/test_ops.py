@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from termloom.llm import bpe, common, html_text, language_id, language_model, line_dedup, packing, simhash
 
@@ -233,6 +234,68 @@ def test_language_id(spark, docs):
     assert {r.lang_pred for r in language_id.identify(docs, {}, ("doc_id",)).collect()} == {"und"}
 
 
+def plain_sizes(model, raw):
+    """By one-shot compressions with fresh compressors."""
+    n, out = language_id.BLOCK_BYTES, []
+    parts = [raw[i : i + n] for i in range(0, len(raw), n)]
+    if len(parts) > 1 and len(parts[-1]) < n // 4:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    for d in model.values():
+        d = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        p = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, write_content_size=0, write_checksum=0, write_dict_id=0)
+        d.precompute_compress(compression_params=p)
+        out.append(sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress(x)) for x in parts))
+    return out
+
+
+def test_language_id_equals_plain_recompression(spark, docs):
+    model = language_id.learn(docs.where(language_id.fold() != 0))
+    names, checked = list(model), 0
+    for r in language_id.identify(docs, model, ("doc_id", "text")).collect():
+        if r.lang_pred == "und":
+            continue
+        s = plain_sizes(model, r.text.lower().encode())
+        a, b = sorted(s)[:2]
+        if a < b:
+            m = (b - a) / a
+            assert r.lang_pred == names[s.index(a)] and r.rejected == (m < language_id.MARGIN) and abs(r.score - m / (m + language_id.MARGIN)) < 1e-12
+            checked += 1
+    assert checked > 100
+
+
+def test_language_id_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("char_length(text) > 300")
+    kept = {}
+    for left in (None, "de", "es"):
+        model = language_id.learn(docs.where(language_id.fold() != 0).where(f"lang <> '{left}'" if left else "true"))
+        asked = docs.where(language_id.fold() == 0).where(f"lang = '{left}'" if left else "true")
+        got = language_id.identify(asked, model, ("doc_id",)).collect()
+        kept[left] = sum(not r.rejected for r in got) / len(got)
+    assert kept[None] > 0.97 and max(kept["de"], kept["es"]) < 0.15
+    model = language_id.Classifier(language_id.learn(docs))
+    texts = {r.lang: r.text for r in docs.groupBy("lang").agg({"text": "min"}).toDF("lang", "text").collect()}
+    mixed = "".join(texts[lang][i : i + 40] for i in range(0, 240, 40) for lang in ("de", "en", "es", "fr"))
+    assert model.predict(mixed.lower().encode())[1] < 0.8
+
+
+def test_language_id_learns_from_whole_texts():
+    assert language_id.shares([10, 1000, 5000, 3], 1013) == [10, 500, 500, 3] and language_id.shares([], 9) == []
+    raw = bytes(range(256)) * 40
+    got = language_id.spread(raw, 2048)
+    assert got[:256] == raw[:256] and got[-256:] == raw[-256:] and len(got) == 8 * 256 + 7 and language_id.spread(b"ab", 9) == b"ab"
+
+
+def test_language_id_edges(spark):
+    rows = [(1, "Der Hund und die Katze.", "de", "a", 1.0), (None, "The cat and the dog.", "en", "b", 2.0), (1, "Der Hund und die Katze.", "de", "a", 1.0), (2, None, None, "c", 3.0), (3, "", "en", None, 4.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _text string, h double").repartition(2)
+    model = language_id.learn(df)
+    assert model == {"de": b"der hund und die katze.", "en": b"the cat and the dog."}
+    got = language_id.identify(df, model, ("doc_id", "_text", "h")).collect()
+    assert sorted((r._text or "", r.lang_pred) for r in got) == [("", "und"), ("a", "de"), ("a", "de"), ("b", "en"), ("c", "und")]
+    assert language_id.learn(df.where("lang is null")) == {} and language_id.learn(df.where("false")) == {}
+    assert language_id.identify(df.where("false"), model).count() == 0
+
+
 def test_html():
     w = html_text.Weights(iter(["<body><nav><a>x y</a></nav><article><h1>A b c</h1><p>d e f g</article><footer>q r s t</footer></body>"] * 5))
     page = """<!DOCTYPE html><html><head><title>T x</title><script>var a="</p><article>";</script></head><body><nav><ul><li><a href="/a">menu one</a></li></ul></nav>
