@@ -2,16 +2,22 @@
 
 P(v | u) = l2 c(u,v)/c(u) + l1 c(v)/N + l0/(V + 1), with weights l by the frequency bucket of the
 context u. Counts come from the whole training corpus. The weights are learned by expectation-
-maximisation on held-out counts: development documents are judged with their own counts deleted.
+maximisation on held-out counts: every training document is judged with its own counts deleted.
+EM reads a histogram of those judgements, whose probabilities are rounded to an eighth of an octave.
 
 Plan. Texts are dealt into shards of bounded size. A shard sends its distinct words and word pairs,
 with its training counts, as sorted packed keys cut into ranges; a range task sums the counts of
 all shards and answers each shard's list by binary search. Nothing is collected but two totals for
 each range and a histogram of bounded size for the weights. A frequent word costs one entry a shard.
+Shards grow with the root of the input, up to a bound, so that a shard's row for a range keeps many
+keys; beyond that bound rows get shorter, down to one key as in a plain shuffle by key. Rows alike
+in doc_id and text are in one shard.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +26,10 @@ from pyspark.sql import functions as F
 from termloom.llm import common as C
 
 FOLDS, HELD = 7, 2
-SHARD_BYTES = 5 << 20
-#: One in so many training documents is also a development document; steps of EM.
-DEVELOPMENT, STEPS = 50, 60
-BUCKETS, STEP = 24, 4  # context-frequency buckets by powers of two; quarters of a power of two
+#: Bytes of text in a shard: a few at least, at most what a task holds.
+LEAST_SHARD, MOST_SHARD = 5 << 20, 32 << 20
+STEPS = 60  # of EM
+BUCKETS, STEP = 24, 8  # context-frequency buckets by powers of two; eighths of a power of two
 BEGIN, CLOSE = np.uint64(0x5BD1E995DEADBEEF), np.uint64(0x27D4EB2F165667C5)
 
 
@@ -65,7 +71,7 @@ def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return k[first], c
 
 
-def _ask(ranges: int, shards: int):
+def _ask(ranges: int):
     edges = np.array([(r << 64) // ranges for r in range(1, ranges)], np.uint64)
 
     def run(t: pa.Table) -> pa.Table:
@@ -73,8 +79,6 @@ def _ask(ranges: int, shards: int):
         shard = t.column("shard")[0].as_py()
         tok, before, owner = token_arrays(data, offs)
         train = t.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        if shard >= shards:  # development copies are not counted again
-            train = np.zeros(len(train), bool)
         mine = train[owner]
         opens = before == BEGIN
         rows = []
@@ -133,59 +137,70 @@ def _bucket(c: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(c, 0) + 1).astype(np.int64), BUCKETS - 1)
 
 
+def own_counts(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """How often each entry's key occurs in its document."""
+    both = C.mix(key ^ C.mix(owner.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(both)
+    k = both[order]
+    group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
+    out = np.empty(len(key), np.int64)
+    out[order] = np.bincount(group)[group]
+    return out
+
+
+def deleted(tok, before, owner, pk, c_v, c_u, c_uv, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context count, pair estimate, word estimate) of each token without its own document's counts."""
+    size = np.bincount(owner)[owner] if len(owner) else owner
+    c_u, c_v, c_uv = c_u - own_counts(before, owner), c_v - own_counts(tok, owner), c_uv - own_counts(pk, owner)
+    return c_u, np.where(c_u > 0, c_uv / np.maximum(c_u, 1), 0.0), c_v / np.maximum(total - size, 1)
+
+
+def rounded(p: np.ndarray) -> np.ndarray:
+    """Eighths of an octave as integers from 0 (for 1.0) up; 0xFFFF for 0."""
+    return np.where(p > 0, np.minimum(-np.rint(STEP * np.log2(np.maximum(p, 1e-300))), 0xFFFE), 0xFFFF).astype(np.int64)
+
+
 def _held_out(total: int):
     def run(t: pa.Table, answers: pa.Table) -> pa.Table:
         _, tok, before, owner, pk, c_v, c_u, c_uv = _looked_up(t, answers)
-
-        def own(key: np.ndarray) -> np.ndarray:
-            """How often each entry's key occurs in its document."""
-            order = np.lexsort((key, owner))
-            k, d = key[order], owner[order]
-            new = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))
-            group = np.cumsum(new) - 1
-            out = np.empty(len(key), np.int64)
-            out[order] = np.bincount(group)[group]
-            return out
-
-        size = np.bincount(owner)[owner]
-        as_context = own(before)
-        c_u, c_v, c_uv = c_u - as_context, c_v - own(tok), c_uv - own(pk)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p2 = np.where(c_u > 0, np.maximum(c_uv, 0) / np.maximum(c_u, 1), 0.0)
-            p1 = np.maximum(c_v, 0) / np.maximum(total - size, 1)
-            q = [np.where(p > 0, np.round(STEP * np.log2(np.maximum(p, 1e-300))), 1).astype(np.int64) for p in (p2, p1)]
-        code = (_bucket(c_u) << 32) | ((1 - q[0]) << 16) | (1 - q[1])
-        code, n = np.unique(code, return_counts=True)
+        x = t.column("train").to_numpy(zero_copy_only=False).astype(bool)[owner]
+        tok, before, owner, pk, c_v, c_u, c_uv = (y[x] for y in (tok, before, owner, pk, c_v, c_u, c_uv))
+        c_u, p2, p1 = deleted(tok, before, owner, pk, c_v, c_u, c_uv, total)
+        code, n = np.unique((_bucket(c_u) << 32) | (rounded(p2) << 16) | rounded(p1), return_counts=True)
         return pa.table({"code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return run
 
 
 def interpolation(rows: list[tuple[int, int]], types: int) -> np.ndarray:
-    """BUCKETS x 3 weights (pair, word, uniform) by EM over (code, count) rows.
+    """BUCKETS x 3 weights (pair, word, uniform), each row's sum 1, by EM over (code, count) rows.
 
-    A bucket's start, and its whole weight where nothing was held out, is the even share; a bucket
-    without any held-out token takes the weights of the nearest lower one that has some.
+    A bucket starts from even shares. One without any held-out token takes the weights of the
+    nearest lower one that has some, the even shares if none has. The first bucket holds contexts
+    that were not seen: they have no pairs. Where nothing was held out the words' share goes too
+    if there is no word.
     """
     lam = np.full((BUCKETS, 3), 1 / 3)
-    if not rows:
-        return lam
-    code, n = (np.array(x, np.int64) for x in zip(*rows, strict=True))
-    b, q = code >> 32, [1 - (code >> 16 & 0xFFFF), 1 - (code & 0xFFFF)]
-    p = np.stack([np.where(x > 0, 0.0, 2.0 ** (x / STEP)) for x in q] + [np.full(len(b), 1 / (types + 1))], axis=1)
-    for _ in range(STEPS):
-        share = lam[b] * p
-        share *= (n / share.sum(axis=1))[:, None]
-        new = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], axis=1) + [0.0, 0.0, 1e-3]
-        has = np.bincount(b, n, BUCKETS) > 0
-        lam = np.where(has[:, None], new / new.sum(axis=1, keepdims=True), lam)
+    code, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    b, q = code >> 32, [code >> 16 & 0xFFFF, code & 0xFFFF]
+    if len(rows):
+        p = np.stack([np.where(x == 0xFFFF, 0.0, 2.0 ** (-x / STEP)) for x in q] + [np.full(len(b), 1 / (types + 1))], axis=1)
+        for _ in range(STEPS):
+            share = lam[b] * p
+            share *= (n / share.sum(axis=1))[:, None]
+            new = np.stack([np.bincount(b, share[:, k], BUCKETS) for k in range(3)], axis=1) + [0.0, 0.0, 1e-3]
+            has = np.bincount(b, n, BUCKETS) > 0
+            lam = np.where(has[:, None], new / new.sum(axis=1, keepdims=True), lam)
     last = None
     for i in range(BUCKETS):
         if np.any(b == i):
-            last = lam[i]
+            last = lam[i].copy()
         elif last is not None:
             lam[i] = last
-    lam[_bucket(np.zeros(1, np.int64))[0]] *= [0, 1, 1]  # an unseen context has no pairs
+    lam[0, 0] = 0.0
+    if not types:
+        lam[:, :2] = 0.0
+    lam[lam.sum(axis=1) == 0, 2] = 1.0
     return lam / lam.sum(axis=1, keepdims=True)
 
 
@@ -212,26 +227,24 @@ def scores(docs: DataFrame) -> DataFrame:
     they occur. Other columns are ignored; an empty table gives no rows. Without any training row
     all counts are 0 and every token has the uniform probability.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    spark, text = docs.sparkSession, F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
     rows = rows.withColumn("held_out", held).withColumn("train", ~F.col("held_out"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
-    develop = max(1, -(-shards // DEVELOPMENT))
-    ranges = 2 * shards
+    shards = max(1, -(-size // min(max(LEAST_SHARD, math.isqrt(2560 * size)), MOST_SHARD)))
     # the text is part of the key: rows that repeat a doc_id spread
-    deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
-    main = rows.withColumn("shard", deal)
-    dev = rows.where("train").where(F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(DEVELOPMENT)) == 0).withColumn("shard", F.lit(shards) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(develop)).cast("int"))
-    asked = main.union(dev).select("shard", "text", "train").groupBy("shard").applyInArrow(_ask(ranges, shards), "r int, shard int, kind int, keys binary, counts binary")
+    main = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    asked = main.select("shard", "text", "train").groupBy("shard").applyInArrow(_ask(2 * shards), "r int, shard int, kind int, keys binary, counts binary")
     answers = C.keep(asked.groupBy("r").applyInArrow(_answer, ANSWER))
+    C.release(spark)
     types, total = answers.where("shard = -1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
-    answers = answers.where("shard >= 0").select("shard", "r", "kind", "counts")
-    seen = dev.select("shard", "text").groupBy("shard").cogroup(answers.where(F.col("shard") >= shards).groupBy("shard")).applyInArrow(_held_out(total), "code long, n long")
+    answers = answers.where("shard >= 0").select("shard", "r", "kind", "counts").groupBy("shard")
+    seen = main.select("shard", "text", "train").groupBy("shard").cogroup(answers).applyInArrow(_held_out(total), "code long, n long")
     lam = interpolation([tuple(r) for r in seen.groupBy("code").agg(F.sum("n")).collect()], types)
+    C.release(spark)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return main.select("shard", "doc_id", "held_out", "text").groupBy("shard").cogroup(answers.where(F.col("shard") < shards).groupBy("shard")).applyInArrow(_score(lam, total, types), out)
+    return main.select("shard", "doc_id", "held_out", "text").groupBy("shard").cogroup(answers).applyInArrow(_score(lam, total, types), out)
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

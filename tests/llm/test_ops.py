@@ -215,11 +215,75 @@ def test_language_model(spark, docs):
     assert language_model.scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def naive_scores(rows):
+    """Score of each row by deleted interpolation over plain dictionaries; weights by unrounded EM as well."""
+    tok, c, n, v = naive_lm(rows)
+    train = [i for i, (d, _) in enumerate(rows) if zlib.crc32(str(d).encode()) % 7 != 2]
+    pairs = {i: list(zip(["<"] + tok[i][:-1], tok[i], strict=True)) for i in tok}
+    c2, cu = collections.Counter(), collections.Counter()
+    for i in train:
+        c2.update(pairs[i])
+        cu.update(u for u, _ in pairs[i])
+    bucket = lambda k: min(int(math.log2(k + 1)), language_model.BUCKETS - 1)
+    held, codes = [], collections.Counter()
+    for i in train:
+        own2, ownu, own = collections.Counter(pairs[i]), collections.Counter(u for u, _ in pairs[i]), collections.Counter(tok[i])
+        for u, w in pairs[i]:
+            k = cu[u] - ownu[u]
+            p = (c2[u, w] - own2[u, w]) / k if k else 0.0, (c[w] - own[w]) / max(n - len(tok[i]), 1)
+            held.append((bucket(k), *p))
+            q = [int(language_model.rounded(np.array([x]))[0]) for x in p]
+            codes[bucket(k) << 32 | q[0] << 16 | q[1]] += 1
+    lam = language_model.interpolation(list(codes.items()), v)
+    b, p = np.array([x[0] for x in held]), np.array([(*x[1:], 1 / (v + 1)) for x in held])
+    exact = np.full((language_model.BUCKETS, 3), 1 / 3)
+    for _ in range(language_model.STEPS):
+        share = exact[b] * p
+        share /= share.sum(axis=1)[:, None]
+        new = np.stack([np.bincount(b, share[:, k], language_model.BUCKETS) for k in range(3)], axis=1) + [0, 0, 1e-3]
+        exact = new / new.sum(axis=1)[:, None]
+    out = collections.Counter()
+    for i, (d, _) in enumerate(rows):
+        x = 0.0
+        for u, w in pairs[i]:
+            a = lam[bucket(cu[u])]
+            x += math.log10(a[0] * c2[u, w] / max(cu[u], 1) + a[1] * c[w] / n + a[2] / (v + 1))
+        out[d, round(x, 4)] += 1
+    return out, lam, exact, np.bincount(b, minlength=language_model.BUCKETS)
+
+
+def test_language_model_scores_equal_brute_force(spark, docs):
+    want, lam, exact, held = naive_scores(rows_of(docs))
+    assert collections.Counter((r.doc_id, round(r.score, 4)) for r in language_model.scores(docs).collect()) == want
+    # rounding moves the weights little
+    many = held > 500
+    assert many.sum() > 5 and np.abs(lam - exact)[many].max() < 0.02
+
+
 def test_language_model_probabilities():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 500).astype(np.uint64))
     assert (common.unpack_keys(common.pack_keys(x)) == x).all()
-    lam = language_model.interpolation([((3 << 32) | (9 << 16) | 30, 50), ((3 << 32) | 30, 50), ((0 << 32) | 40, 5)], 1000)
+    lam = language_model.interpolation([((3 << 32) | (9 << 16) | 30, 50), ((3 << 32) | 30, 50), (0xFFFF << 16 | 40, 5)], 1000)
     assert np.allclose(lam.sum(axis=1), 1) and lam[0, 0] == 0 and (lam >= 0).all() and lam[3, 0] > 0.2
+    # with and without held-out rows the probabilities of all words after any context add up to 1
+    c = np.array([5, 3, 2])
+    for lam in (lam, language_model.interpolation([], 3), language_model.interpolation([(0, 5)], 3)):
+        for seen in (np.zeros(3), np.array([1, 0, 0]), np.array([2, 1, 0])):
+            w = lam[language_model._bucket(np.array([seen.sum()]).astype(int))[0]]
+            p = w[0] * seen / max(seen.sum(), 1) + w[1] * c / c.sum()
+            assert abs(p.sum() + w[2] - 1) < 1e-12
+    assert (language_model.interpolation([], 0)[:, 2] == 1).all()
+
+
+def test_language_model_edges(spark):
+    """Null ids train, repeated rows count each, a table without training rows is uniform."""
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(None, "a b a", "x", 1), (None, "a b a", "x", 1), (held, "a b", "y", 2), (held, None, None, 3), (1 if held != 1 else 3, "", "z", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, train string, shard int").repartition(3)
+    got = language_model.scores(df).collect()
+    assert sorted((r.doc_id is None, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got) == sorted([(True, False, 4, 4, 9)] * 2 + [(False, True, 3, 3, 9), (False, True, 1, 1, 9), (False, False, 1, 1, 9)])
+    none = language_model.scores(df.where(f"doc_id = {held}")).collect()
+    assert sorted(r.score for r in none) == [0.0, 0.0] and {r.train_tokens for r in none} == {0}
 
 
 def test_language_id(spark, docs):
