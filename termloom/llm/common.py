@@ -7,7 +7,8 @@ shingles and windows are hashed with whole-array numpy operations, never word by
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -155,12 +156,17 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where that is unset."""
+    """A folder of this application below spark.checkpoint.dir, on any file system that Spark writes to.
+
+    Where that is unset, a local session gets a temporary folder and a cluster an error.
+    """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
+    return f"{d.rstrip('/')}/termloom-{spark.sparkContext.applicationId}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -178,7 +184,7 @@ def _clean() -> None:
 
 
 def mark() -> int:
-    """The place in the list of kept tables, for ``since``."""
+    """The place in the list of kept tables, for ``since`` and ``settle``."""
     return len(_written)
 
 
@@ -194,26 +200,44 @@ def discard(tables: list[tuple[SparkSession, str]]) -> None:
     _written[:] = [x for x in _written if x[1] not in gone]
 
 
+def settle(place: int, *kept: DataFrame) -> None:
+    """Of the tables kept since ``place`` only those of the frames ``kept`` stay."""
+    stay = {x.kept_in for x in kept}
+    discard([x for x in since(place) if x[1] not in stay])
+
+
+@contextlib.contextmanager
+def once(spark: SparkSession):
+    """Queries inside delete their shuffle files when they end: nothing runs them again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder and read back: cuts the lineage.
 
-    Unlike ``checkpoint()`` this runs the plan a single time.
+    Unlike ``checkpoint()`` this runs the plan a single time, and its shuffle files go at once. The
+    table is deleted by ``discard`` or ``settle``, at the latest when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/termloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    with once(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_in = path
+    return out
 
-def release(spark: SparkSession) -> None:
-    """Lets executors delete the shuffle files of plans that nothing refers to any more.
 
-    Spark does so when the driver collects garbage, which a driver that only plans seldom does. To be
-    called after ``keep`` has written what large shuffles made.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
+def collect(df: DataFrame) -> list:
+    """Rows of a result of bounded size, whose shuffle files go at once."""
+    with once(df.sparkSession):
+        return df.select("*").collect()  # a new query, which the setting holds for
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,7 +253,7 @@ def components(links: DataFrame) -> DataFrame:
     allowed; null ends are ignored; no links give no rows.
     """
     e = keep(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    place, state = mark() - 1, None
     while True:
         both = e.union(e.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -238,7 +262,8 @@ def components(links: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = keep(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        settle(place, e)
+        now = collect(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))))[0]
         if now == state or now[0] == 0:
             break
         state = tuple(now)
@@ -248,15 +273,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_in_buckets(rows: DataFrame, condition: str, block: int = 512) -> DataFrame:
-    """Distinct (a, b) of rows x and y of (key, id, ...) in one bucket for which ``condition`` holds.
+    """Distinct (a, b), a < b, of rows x and y of (key, id, asks, ...) in one bucket for which
+    ``condition``, which must not depend on their order, holds and one of which asks.
 
-    Buckets are cut into blocks of about ``block`` rows that meet two by two, so a large bucket is
-    spread over many tasks; the condition is part of the join, so pairs that fail it are never made.
+    Buckets are cut into blocks of about ``block`` rows. A row lies in its own block, one that asks
+    is sent to all blocks of its bucket, so a large bucket is spread over many tasks; the condition
+    is part of the join, so pairs that fail it are never made. Bucket sizes are written first: the
+    join that deals the rows out then reads plain shuffles, and Spark can split a hot bucket.
     """
-    size = rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    size = keep(rows.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key", F.ceil(F.col("_n") / block).cast("int").alias("_blocks")))
     own = rows.join(size, "key").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    dealt = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = dealt.withColumn("_i", F.least("_own", "_other")).withColumn("_j", F.greatest("_own", "_other")).drop("_own", "_other", "_blocks")
-    dealt = keep(dealt)
-    met = dealt.alias("x").join(dealt.alias("y"), F.expr("x.key = y.key and x._i = y._i and x._j = y._j and " + condition))
-    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    lie = own.withColumn("_b", F.col("_own")).drop("_own", "_blocks")
+    ask = own.where("asks").withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_own", "_blocks")
+    met = lie.alias("x").join(ask.alias("y"), F.expr(f"x.key = y.key and x._b = y._b and x.id <> y.id and (not x.asks or x.id < y.id) and {condition}"))
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()

@@ -64,14 +64,14 @@ def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES
 
     low = F.lower(F.col("text").cast("string"))
     good = docs.where("lang is not null").where(F.col("text").rlike("\\p{L}")).select(F.col("lang").cast("string").alias("lang"), low.alias("text"), F.xxhash64("doc_id", "text").alias("h"))
-    counts = dict(tuple(r) for r in good.groupBy("lang").agg(F.count("*")).collect())
+    counts = dict(tuple(r) for r in C.collect(good.groupBy("lang").agg(F.count("*"))))
     if not counts:
         return {}
     # the least hashes of each language lie, but for one case in very many, in this part of their range
     part = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 8 * rows / n))))
     least = good.where(F.col("h").cast("double") < (F.element_at(part, F.col("lang")) * 2 - 1) * float(1 << 63))
     least = least.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("n"))
-    top = least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).select("lang", "h", "n").collect()
+    top = C.collect(least.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= rows).select("lang", "h", "n"))
     taken: dict[tuple[str, int], int] = {}
     for lang in counts:
         own = sorted((r["h"], r["n"]) for r in top if r["lang"] == lang)

@@ -227,22 +227,20 @@ def scores(docs: DataFrame) -> DataFrame:
     they occur. Other columns are ignored; an empty table gives no rows. Without any training row
     all counts are 0 and every token has the uniform probability.
     """
-    spark, text = docs.sparkSession, F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
     rows = rows.withColumn("held_out", held).withColumn("train", ~F.col("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text").cast("long") + 64)).first()[0] or 0
+    size = C.collect(rows.agg(F.sum(F.octet_length("text").cast("long") + 64)))[0][0] or 0
     shards = max(1, -(-size // min(max(LEAST_SHARD, math.isqrt(2560 * size)), MOST_SHARD)))
     # the text is part of the key: rows that repeat a doc_id spread
     main = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     asked = main.select("shard", "text", "train").groupBy("shard").applyInArrow(_ask(2 * shards), "r int, shard int, kind int, keys binary, counts binary")
     answers = C.keep(asked.groupBy("r").applyInArrow(_answer, ANSWER))
-    C.release(spark)
-    types, total = answers.where("shard = -1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    types, total = C.collect(answers.where("shard = -1").agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))))[0]
     answers = answers.where("shard >= 0").select("shard", "r", "kind", "counts").groupBy("shard")
     seen = main.select("shard", "text", "train").groupBy("shard").cogroup(answers).applyInArrow(_held_out(total), "code long, n long")
-    lam = interpolation([tuple(r) for r in seen.groupBy("code").agg(F.sum("n")).collect()], types)
-    C.release(spark)
+    lam = interpolation([tuple(r) for r in C.collect(seen.groupBy("code").agg(F.sum("n")))], types)
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return main.select("shard", "doc_id", "held_out", "text").groupBy("shard").cogroup(answers).applyInArrow(_score(lam, total, types), out)
 

@@ -103,16 +103,15 @@ def _alike(texts: DataFrame) -> DataFrame:
 
 def drops(docs: DataFrame, min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
     """(_key, gone): ascending numbers of the lines to remove from each text of (_ord, _key, text)."""
-    spark, lines = docs.sparkSession, _lines(docs, min_chars, short)
+    place, lines = C.mark(), _lines(docs, min_chars, short)
     halves = F.when(F.char_length("line") >= min_chars, _halves())  # null: no one-edit match
     once = C.keep(lines.groupBy("id", "id2").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min(halves).alias("halves")))
     texts = _suspects(docs, once)
-    C.release(spark)
     alike = _alike(texts).withColumn("near", F.lit(True))
     bad = once.join(alike, "id", "left").where("n > 1 or near").select("id", "id2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = lines.select("at", "id", "id2").join(bad.hint("merge"), ["id", "id2"]).where("near or first < at")
     gone = C.keep(gone.groupBy(F.col("at.k").alias("_key")).agg(F.array_sort(F.collect_set("at.pos")).alias("gone")))
-    C.release(spark)
+    C.settle(place, gone)
     return gone
 
 

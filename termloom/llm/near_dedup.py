@@ -207,14 +207,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     whatever their names, are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    place = C.mark()
     t = C.keep(digests(docs, k))
     classes = C.keep(t.groupBy("h1", "h2").agg(F.min_by(F.struct("doc_id", "n", "bands", "sketch", "odd"), "doc_id").alias("r")).select("h1", "h2", "r.*"))
     keys = classes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     node = classes.select(F.col("doc_id").alias("id"), "n", "sketch", "odd")
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # what is joined by bucket is written first: Spark can split a hot bucket only in a plain join
+    sizes = C.keep(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     met = C.keep(keys.join(sizes, "key").select("key", "id", "size"))
     rank = met.groupBy("id").agg(F.sum("size").alias("rank"))
-    centre = met.join(rank, "id").groupBy("key").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("b"))
+    centre = C.keep(met.join(rank, "id").groupBy("key").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("b")))
     star = met.join(centre, "key").where("id <> b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
     star = star.join(node.alias("x"), F.col("a") == F.col("x.id")).join(node.alias("y"), F.col("b") == F.col("y.id")).where(F.expr(_close(percent))).select("a", "b")
     tried = C.keep(star)
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         named = met.where("size > 2").join(label, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
         # of every bucket the number of rows in each component, and the largest component
         parts = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+        mixed = C.keep(parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"))
         open_ = C.keep(named.join(mixed, "key").withColumn("minor", F.col("comp") != F.col("major")).select("key", "id", "size", "comp", "minor"))
         if step == "forest":
             blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
@@ -234,11 +236,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             dealt = every.select("key", "block", "id", "comp", "minor", "own").union(large.where("not minor").select("key", "_own", "id", "comp", "minor", F.lit(True)))
             found = dealt.join(node, "id").groupBy("key", "block").applyInArrow(_forests(percent), "a long, b long").distinct()
         else:
-            found = C.near_in_buckets(open_.join(node, "id").select("key", "id", "comp", "minor", "n", "sketch", "odd"), "x.id > y.id and x.comp <> y.comp and (x.minor or y.minor) and " + _close(percent), BLOCK_ROWS)
+            found = C.near_in_buckets(open_.join(node, "id").select("key", "id", "comp", F.col("minor").alias("asks"), "n", "sketch", "odd"), "x.comp <> y.comp and " + _close(percent), BLOCK_ROWS)
+            found = found.select(F.col("b").alias("a"), F.col("a").alias("b"))
         found = C.keep(found.join(tried, ["a", "b"], "left_anti"))
         links = C.keep(links.union(confirmed(found, docs, k, percent)))
         tried = tried.union(found)
     label = C.keep(C.components(links))
+    C.settle(place, t, classes, label)
     named = classes.select("h1", "h2", "doc_id").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("h1", "h2", F.coalesce("component", "doc_id").alias("component_id"))
     known = t.select("doc_id", "n", "h1", "h2").distinct().join(named, ["h1", "h2"]).groupBy("doc_id").agg(F.max("n").alias("n"), F.min("component_id").alias("component_id"))
     out = docs.select("doc_id").join(known, "doc_id", "left")

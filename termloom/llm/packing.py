@@ -182,14 +182,16 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> Da
     ignored; an empty table gives no rows. A text of any length is one row's ids in memory.
     """
     # the row's place in its file spreads rows that repeat a doc_id over the ranges
+    place = C.mark()
     p = C.keep(pieces(docs, path, length, end)).withColumn("_row", F.monotonically_increasing_id())
     order = [F.col("length").desc(), "doc_id", "piece", "_row"]
     ranged = C.keep(p.repartitionByRange(*order).sortWithinPartitions(*order).drop("_row").mapInArrow(_in_order, PIECE + ", _p int, _i long"))
+    C.settle(place, ranged)
     counts = np.zeros(length + 1, np.int64)
-    for size, n in ranged.groupBy("length").agg(F.count("*")).collect():
+    for size, n in C.collect(ranged.groupBy("length").agg(F.count("*"))):
         counts[size] = n
     first, at = {}, 0
-    for part, n in ranged.groupBy("_p").agg(F.count("*")).orderBy("_p").collect():
+    for part, n in sorted(C.collect(ranged.groupBy("_p").agg(F.count("*")))):
         first[part], at = at, at + n
     return ranged.mapInArrow(_swept(first, gap_runs(counts, length)), PIECE + ", sequence_id long, offset long")
 

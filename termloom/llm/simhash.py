@@ -88,8 +88,8 @@ def neighbours(prints: DataFrame, radius: int = 3) -> DataFrame:
     bits = F.concat(*(F.lpad(F.conv(F.hex(f"f_{i}"), 16, 2), 64, "0") for i in range(2)))
     cut = [BITS * i // blocks for i in range(blocks + 1)]
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("_bits", cut[i] + 1, cut[i + 1] - cut[i])) for i in range(blocks)))
-    rows = prints.withColumn("_bits", bits).withColumn("key", F.explode(keys)).select("key", "id", "f_0", "f_1")
-    return C.near_in_buckets(rows, f"x.id < y.id and bit_count(x.f_0 ^ y.f_0) + bit_count(x.f_1 ^ y.f_1) between 1 and {radius}")
+    rows = prints.withColumn("_bits", bits).withColumn("key", F.explode(keys)).select("key", "id", F.lit(True).alias("asks"), "f_0", "f_1")
+    return C.near_in_buckets(rows, f"bit_count(x.f_0 ^ y.f_0) + bit_count(x.f_1 ^ y.f_1) between 1 and {radius}", 4096)
 
 
 #: A run of rows alike in doc_id and text: their number, what they hold, and what follows them.
@@ -158,7 +158,7 @@ def edited_chain(rows: DataFrame) -> DataFrame:
     ordered = rows.select("doc_id", "key", "text").repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
     swept = C.keep(ordered.mapInArrow(_sweep, f"{ROW}, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"))
     edges = swept.where("edge is not null").select("edge.*")
-    order = sorted(r[0] for r in edges.select("p").collect())
+    order = sorted(r[0] for r in C.collect(edges.select("p")))
     after = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "p int, q int")
     first = edges.select(F.col("p").alias("q"), F.col("first_0").alias("next_0"), F.col("first_1").alias("next_1"), F.col("first_text").alias("next_text"))
     pairs = edges.drop("first_0", "first_1", "first_text").join(after, "p").join(first, "q")
@@ -178,7 +178,9 @@ def compare_edited(docs: DataFrame, radius: int = 3) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
+    place = C.mark()
     chain = C.keep(edited_chain(rows))
+    C.settle(place, chain)
     classes = C.keep(chain.groupBy("f_0", "f_1").agg(F.min("key").alias("id")))
     links = neighbours(classes, radius)
     n_near = links.union(links.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"))

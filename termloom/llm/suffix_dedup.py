@@ -371,22 +371,24 @@ def repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
                 d, q, h, g = anchors(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], window, gram)
                 yield pa.RecordBatch.from_arrays([pa.array(key[a:b][d]), pa.array(q), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["key", "place", "h", "g"])
 
+    place = C.mark()
     at = docs.select("key", "text").mapInArrow(find, "key long, place long, h long, g long")
     at = C.keep(at)
-    same = at.groupBy("h", "g").agg(F.count("*").alias("c"))
-    often = same.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("h", F.col("kinds") > 1)
-    often = often.toDF("h", "varied")
-    # written first, so that the join below shuffles both sides plainly and Spark can split a hot anchor
+    # both written first: the joins below then shuffle their sides plainly and Spark can split a hot anchor
+    same = C.keep(at.groupBy("h", "g").agg(F.count("*").alias("c")))
+    often = C.keep(same.groupBy("h").agg(F.sum("c").alias("n"), F.count("*").alias("kinds")).where("n > 1").select("h", (F.col("kinds") > 1).alias("varied")))
     same = C.keep(same.join(often, "h").select("h", "g", (F.col("c") > 1).alias("full"), "varied"))
     met = C.keep(at.join(same, ["h", "g"]).select("key", "place", "h", "g", "full", "varied"))
+    C.settle(place, met)
     # One copy of a settled group stands for it wherever other surroundings of the anchor exist.
     one = met.where("full and varied").groupBy("h", "g").agg(F.min(F.struct("key", "place")).alias("one"))
     codes = met.select("key", (F.col("place") * 4 + F.col("full").cast("int")).alias("code")).union(one.select("one.key", F.col("one.place") * 4 + 3))
     lists = codes.groupBy("key").agg(F.collect_set("code").alias("places"))
     suspects = docs.dropDuplicates(["key"]).select("key", "text").join(lists, "key").select("key", F.col("text").cast("binary").alias("text"), "places")
     shards = C.keep(suspects.mapInArrow(_shards(window, gram), SHARD))
+    C.settle(place, shards)
     own = shards.where("key is null").select("shard", "prints")
-    total = own.agg(F.sum(F.octet_length("prints"))).first()[0] or 0  # 8 bytes each
+    total = C.collect(own.agg(F.sum(F.octet_length("prints"))))[0][0] or 0  # 8 bytes each
     ranges = max(1, -(-total // (8 * RANGE_ROWS)))
     ranges = max(ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) if total > 8 * RANGE_ROWS else 1)
     hits = own.mapInArrow(_split(ranges), "r int, shard string, prints binary").groupBy("r").applyInArrow(_merge, "shard string, hits binary")
