@@ -26,7 +26,6 @@ def stage(f):
     @functools.wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         C.discard(_left)
-        C.release(spark)
         place = C.mark()
         out = f(spark, docs, sf_dir)
         _left[:] = C.since(place)
