@@ -133,6 +133,12 @@ def shingles(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np
     return np.concatenate(parts) if parts else np.zeros(0, U64), np.cumsum(sizes)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Ascending distinct values, by sorting: numpy's own way without further results is a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def pieces(data: np.ndarray, offs: np.ndarray, most: int = 4 * BLOCK):
     """(first document, one past the last) of runs of documents of about ``most`` bytes together."""
     a, n = 0, len(offs) - 1

@@ -64,7 +64,7 @@ def pair_key(before: np.ndarray, tok: np.ndarray) -> np.ndarray:
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and how many of each are in training."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     k = keys[order]
     first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     c = np.add.reduceat(train[order].astype(np.int64), first) if len(k) else np.zeros(0, np.int64)
@@ -103,10 +103,7 @@ def _answer(t: pa.Table) -> pa.Table:
         own = [C.unpack_keys(t.column("keys")[i].as_py()) for i in rows]
         keys = np.concatenate(own)
         counts = np.concatenate([unpack_counts(t.column("counts")[i].as_py()) for i in rows])
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        keys, counts = keys[first], np.add.reduceat(counts, first)
+        keys, counts = _counted(keys, counts)
         out += [(r, shard[i], kind, pack_counts(counts[np.searchsorted(keys, k)]), None, None) for i, k in zip(rows, own, strict=True)]
         if kind == 0:
             words = keys != BEGIN
@@ -126,11 +123,18 @@ def _looked_up(t: pa.Table, answers: pa.Table):
     for r, kind, raw in zip(*(answers.column(c).to_pylist() for c in ("r", "kind", "counts")), strict=True):
         got.setdefault(kind, []).append((r, raw))
     uni, pair = (np.concatenate([unpack_counts(raw) for _, raw in sorted(got[k])]) for k in (0, 1))
-    words = np.unique(np.concatenate((tok, [BEGIN])))
+    at = np.unique(np.concatenate((tok, [BEGIN])), return_inverse=True)[1]
     pk = pair_key(before, tok)
-    pairs = np.unique(pk)
-    c_v, c_u = uni[np.searchsorted(words, tok)], uni[np.searchsorted(words, before)]
-    return offs, tok, before, owner, pk, c_v, c_u, pair[np.searchsorted(pairs, pk)]
+    c_v = uni[at[:-1]]
+    return offs, tok, before, owner, pk, c_v, shifted(c_v, before, uni[at[-1]]), pair[np.unique(pk, return_inverse=True)[1]]
+
+
+def shifted(of_token: np.ndarray, before: np.ndarray, of_begin) -> np.ndarray:
+    """What holds for each token's context, from what holds for the tokens."""
+    out = np.empty_like(of_token)
+    out[1:] = of_token[:-1]
+    out[before == BEGIN] = of_begin
+    return out
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -139,19 +143,15 @@ def _bucket(c: np.ndarray) -> np.ndarray:
 
 def own_counts(key: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """How often each entry's key occurs in its document."""
-    both = C.mix(key ^ C.mix(owner.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(both)
-    k = both[order]
-    group = np.cumsum(np.concatenate(([0], k[1:] != k[:-1])))
-    out = np.empty(len(key), np.int64)
-    out[order] = np.bincount(group)[group]
-    return out
+    _, at, n = np.unique(C.mix(key ^ C.mix(owner.astype(np.uint64) + np.uint64(1))), return_inverse=True, return_counts=True)
+    return n[at]
 
 
 def deleted(tok, before, owner, pk, c_v, c_u, c_uv, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context count, pair estimate, word estimate) of each token without its own document's counts."""
     size = np.bincount(owner)[owner] if len(owner) else owner
-    c_u, c_v, c_uv = c_u - own_counts(before, owner), c_v - own_counts(tok, owner), c_uv - own_counts(pk, owner)
+    own = own_counts(tok, owner)
+    c_u, c_v, c_uv = c_u - shifted(own, before, 1), c_v - own, c_uv - own_counts(pk, owner)
     return c_u, np.where(c_u > 0, c_uv / np.maximum(c_u, 1), 0.0), c_v / np.maximum(total - size, 1)
 
 

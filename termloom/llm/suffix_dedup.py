@@ -237,7 +237,7 @@ def shard_marks(texts: list[np.ndarray], lists: list[tuple[np.ndarray, ...]], wi
         prints.append(_window_hashes(t, starts, window))
         marks[i][starts[seen]] = True
         opens[i] &= ~marks[i]
-    return marks, opens, np.unique(np.concatenate(prints))
+    return marks, opens, C.distinct(np.concatenate(prints))
 
 
 def _spans(mark: np.ndarray, window: int, n: int) -> np.ndarray:
@@ -311,7 +311,7 @@ def _merge(t: pa.Table) -> pa.Table:
     """Fingerprints that two or more shards hold, back to each of them."""
     own = [C.unpack_keys(x) for x in t.column("prints").to_pylist()]
     x = np.sort(np.concatenate(own))
-    twice = np.unique(x[1:][x[1:] == x[:-1]])
+    twice = C.distinct(x[1:][x[1:] == x[:-1]])
     out = []
     for p in own:
         at = np.searchsorted(twice, p)
@@ -326,7 +326,7 @@ OUT = "key long, n_removed long, n_spans long, kept_sha256 string"
 
 def _finish(window: int, texts: bool):
     def run(docs: pa.Table, hits: pa.Table) -> pa.Table:
-        known = np.unique(np.concatenate([np.zeros(0, np.uint64), *(C.unpack_keys(x) for x in hits.column("hits").to_pylist())]))
+        known = C.distinct(np.concatenate([np.zeros(0, np.uint64), *(C.unpack_keys(x) for x in hits.column("hits").to_pylist())]))
         rows = []
         for key, raw, known_runs, ask_runs in zip(*(docs.column(c).to_pylist() for c in ("key", "text", "known", "asks")), strict=True):
             mark = np.zeros(max(len(raw) - window + 1, 0), bool)
