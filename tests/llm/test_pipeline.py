@@ -1,5 +1,6 @@
 """Each stage of the pipeline against brute force on what the stage before it kept."""
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -52,7 +53,7 @@ def test_stages(spark, tmp_path):
             first = naive_near(rows, 5, 80)
             want = {d: t for d, t in rows if first[d][2]}
         elif name == "suffix_dedup":
-            want = {d: t for (d, _), t in zip(rows, cut([t.encode() for _, t in rows], 400), strict=True) if t.strip(" ")}
+            want = {d: t for (d, _), t in zip(rows, cut([t.encode() for _, t in rows], corpus_pipeline.PASSAGE), strict=True) if t.strip(" ")}
         else:
             lib = bpe.Tokenizer.from_file(bpe.default_path("word_bpe_49k.json"))
             want, sequences = {d: len(lib.encode(t, add_special_tokens=False).ids) + 1 for d, t in rows}, defaultdict(int)
@@ -66,6 +67,19 @@ def test_stages(spark, tmp_path):
     assert kept["packing"] == kept["suffix_dedup"] < kept["near_dedup"] <= kept["line_dedup"] <= kept["language_id"]
 
 
+def test_passages_of_over_50_words_are_cut(spark, tmp_path):
+    """In two documents or more, amid other words; documents that share shorter ones stay whole."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("aeinorst") for _ in range(r.choice((2, 3, 4, 5, 6, 8))))
+    text = lambda n: " ".join(word() for _ in range(n))
+    long, short = [text(51) for _ in range(20)], [text(15) for _ in range(20)]
+    rows = [(i, f"{text(60)} {(long if i < 60 else short)[i % 20]} {text(60)}", "en", "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {x.doc_id: x.text for x in corpus_pipeline.stage_suffix_dedup(spark, docs, str(tmp_path)).collect()}
+    assert all(long[i % 20][5:-5] not in got[i] and len(got[i].split()) <= 122 for i in range(60))
+    assert all(got[i] == rows[i][1] for i in range(60, 120))
+
+
 def test_run_equals_its_stages_on_an_empty_table(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS).where("false")
     docs.write.parquet(f"file://{tmp_path}/documents.parquet")
