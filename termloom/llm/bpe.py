@@ -24,7 +24,7 @@ from tokenizers import Tokenizer
 
 from termloom.llm import common as C
 
-MEMO = 1_000_000
+MEMO = 1 << 18
 #: The byte-level pre-tokenizer's pattern, and the same for texts of ASCII alone.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.A)
@@ -158,7 +158,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 b.append(hashlib.sha256(back).hexdigest())
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(C.trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

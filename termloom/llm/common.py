@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -212,16 +214,36 @@ def settle(place: int, *kept: DataFrame) -> None:
     discard([x for x in since(place) if x[1] not in stay])
 
 
+#: Shuffle files of a query go when it ends; texts come to Python a few MB at a time.
+_ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 @contextlib.contextmanager
 def once(spark: SparkSession):
-    """Queries inside delete their shuffle files when they end: nothing runs them again."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    """Settings for queries that nothing runs again."""
+    before = {k: spark.conf.get(k) for k in _ONCE}
     try:
+        for k, v in _ONCE.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def trimmed(run):
+    """``run`` over batches; at the end of a task what it has freed goes back to the system.
+
+    Python workers live on from stage to stage, and their heaps would add to the next ones'.
+    """
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return inner
 
 
 def keep(df: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], columns: tuple[str
             a, b, c = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(t.column(i) for i in range(at)), pa.array(a, pa.string()), pa.array(b, pa.float64()), pa.array(c, pa.bool_())], [*t.schema.names[:at], "lang_pred", "score", "rejected"])
 
-    return d.mapInArrow(run, schema)
+    return d.mapInArrow(C.trimmed(run), schema)
 
 
 def fold(folds: int = FOLDS):

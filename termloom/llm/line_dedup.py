@@ -88,7 +88,7 @@ def _alike(texts: DataFrame) -> DataFrame:
     texts = texts.dropDuplicates(["id"])
     # Distinct lines with one variant are bounded by its length times the alphabet: no key is hot.
     w = Window.partitionBy("key")
-    v = texts.select("id", "line").mapInArrow(_variants, "key long, place int, id long").repartition("key")
+    v = texts.select("id", "line").mapInArrow(C.trimmed(_variants), "key long, place int, id long").repartition("key")
     v = v.select("*", F.min("id").over(w).alias("lo"), F.max("id").over(w).alias("hi")).where("lo < hi").drop("lo", "hi")
     v = C.keep(v.join(texts.select("id", "first"), "id"))
     # a deletion at one place of both is a substitution, a deletion that gives a line is an insertion
@@ -151,7 +151,7 @@ def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, columns: tuple[str
     gone = drops(d.select("_ord", "_key", "text"), min_chars, short)
     rest = [c for c in names if c != "text"]
     schema = ", ".join([f"`{c}` {t}" for c, t in d.select(*rest).dtypes] + ["text string, n_lines long, n_dropped long"])
-    out = d.join(gone.hint("merge"), "_key", "left").select(*rest, "text", "gone").mapInArrow(_cut(len(rest)), schema)
+    out = d.join(gone.hint("merge"), "_key", "left").select(*rest, "text", "gone").mapInArrow(C.trimmed(_cut(len(rest))), schema)
     return out.select(*names, "n_lines", "n_dropped")
 
 

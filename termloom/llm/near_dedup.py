@@ -97,7 +97,7 @@ def digests(docs: DataFrame, k: int) -> DataFrame:
                 if len(d["ids"]):
                     yield pa.RecordBatch.from_arrays([pa.array(d["ids"].astype(np.int64)), pa.array(d["n"].astype(np.int64)), pa.array(d["h1"].view(np.int64)), pa.array(d["h2"].view(np.int64)), _list(d["bands"]), _list(d["sketch"]), _list(d["odd"])], ["doc_id", "n", "h1", "h2", "bands", "sketch", "odd"])
 
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(C.trimmed(run), DIGEST)
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -111,7 +111,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer((at * 8).tobytes()), pa.py_buffer(h.tobytes())])
                 yield pa.RecordBatch.from_arrays([t.column(0).slice(a, b - a), packed.cast(pa.binary())], ["id", "set"])
 
-    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, set binary")
+    return docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(C.trimmed(run), "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -133,7 +133,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
                 ok[i] = same > 0 and 100 * same >= percent * (len(p) + len(q) - same)
             yield t.select([0, 1]).filter(pa.array(ok))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(C.trimmed(run), "a long, b long")
 
 
 def _most_apart(percent: int) -> int:

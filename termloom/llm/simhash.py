@@ -156,7 +156,7 @@ def edited_chain(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     ordered = rows.select("doc_id", "key", "text").repartitionByRange("doc_id", "key").sortWithinPartitions("doc_id", "key")
-    swept = C.keep(ordered.mapInArrow(_sweep, f"{ROW}, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"))
+    swept = C.keep(ordered.mapInArrow(C.trimmed(_sweep), f"{ROW}, edge struct<{EDGE.replace(' ', ':').replace(',:', ',')}>"))
     edges = swept.where("edge is not null").select("edge.*")
     order = sorted(r[0] for r in C.collect(edges.select("p")))
     after = spark.createDataFrame(list(zip(order, order[1:] + order[:1], strict=True)), "p int, q int")

@@ -372,7 +372,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
                 yield pa.RecordBatch.from_arrays([pa.array(key[a:b][d]), pa.array(q), pa.array(h.view(np.int64)), pa.array(g.view(np.int64))], ["key", "place", "h", "g"])
 
     place = C.mark()
-    at = docs.select("key", "text").mapInArrow(find, "key long, place long, h long, g long")
+    at = docs.select("key", "text").mapInArrow(C.trimmed(find), "key long, place long, h long, g long")
     at = C.keep(at)
     # both written first: the joins below then shuffle their sides plainly and Spark can split a hot anchor
     same = C.keep(at.groupBy("h", "g").agg(F.count("*").alias("c")))
@@ -385,7 +385,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, texts: bool = False) -> DataF
     codes = met.select("key", (F.col("place") * 4 + F.col("full").cast("int")).alias("code")).union(one.select("one.key", F.col("one.place") * 4 + 3))
     lists = codes.groupBy("key").agg(F.collect_set("code").alias("places"))
     suspects = docs.dropDuplicates(["key"]).select("key", "text").join(lists, "key").select("key", F.col("text").cast("binary").alias("text"), "places")
-    shards = C.keep(suspects.mapInArrow(_shards(window, gram), SHARD))
+    shards = C.keep(suspects.mapInArrow(C.trimmed(_shards(window, gram)), SHARD))
     C.settle(place, shards)
     own = shards.where("key is null").select("shard", "prints")
     total = C.collect(own.agg(F.sum(F.octet_length("prints"))))[0][0] or 0  # 8 bytes each
