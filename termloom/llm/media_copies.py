@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from termloom.llm import common as C
 
 SCALES = (1.0, 1.4, 2.0)
-CORNERS = 16  # a scale and image, the strongest: a feature of the method, images are small
+#: The strongest corners of a scale in each tile of SIDE pixels, so their number grows with the area.
+CORNERS, SIDE = 16, 96
 BITS, RADIUS, TURNS = 128, 9, 32
 MOST_APART, MEETINGS, INLIERS, REACH = 24, 3, 8, 5.0
 #: Width of a table's block, at any size of the input. A query also asks for the keys one bit from its
 #: own: of eight blocks one has at most one of 15 different bits, so corners so near always meet.
 BLOCK_BITS = 16
-SIDE = 96
 
 _rng = np.random.default_rng(128)
 #: Two points near each other, all over the patch: far pairs would all tell the corner's bright side.
@@ -84,13 +84,13 @@ def decode_pnm(raw: bytes | None) -> np.ndarray | None:
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
     """Mean over (2 r + 1) squared, edges repeated."""
-    p = np.pad(x, r, mode="edge")
-    for axis in (0, 1):
-        c = np.cumsum(p, axis=axis, dtype=np.float32)
-        c = np.concatenate((np.zeros_like(np.take(c, [0], axis)), c), axis)
-        n = 2 * r + 1
-        p = (np.take(c, range(n, c.shape[axis]), axis) - np.take(c, range(c.shape[axis] - n), axis)) / n
-    return p
+    n, c = 2 * r + 1, np.cumsum(np.pad(x, r, mode="edge"), axis=0, dtype=np.float32)
+    p = c[n - 1 :]
+    p[1:] = p[1:] - c[:-n]
+    c = np.cumsum(p / n, axis=1, dtype=np.float32)
+    p = c[:, n - 1 :].copy()
+    p[:, 1:] -= c[:, :-n]
+    return p / n
 
 
 def resize(x: np.ndarray, factor: float) -> np.ndarray:
@@ -123,7 +123,10 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             for dx in (-1, 0, 1):
                 np.maximum(top, r[m + dy : h - m + dy, m + dx : w - m + dx], out=top)
         y0, x0 = np.nonzero((inner == top) & (inner > 1.0))
-        best = np.argsort(-inner[y0, x0], kind="stable")[:CORNERS]
+        tile = (y0 + m) // SIDE * (w // SIDE + 1) + (x0 + m) // SIDE
+        best = np.lexsort((-inner[y0, x0], tile))
+        rank = np.arange(len(best)) - np.searchsorted(tile[best], tile[best])
+        best = best[rank < CORNERS]
         y0, x0 = y0[best] + m, x0[best] + m
         if not len(y0):
             continue
@@ -148,14 +151,14 @@ MEMO = 4096
 
 
 def described(images: DataFrame) -> DataFrame:
-    """DESCRIBED of each image of (id, image binary) that has corners; null or broken files have none.
+    """DESCRIBED of each image of (id, image binary); null and broken files have none.
 
     An image's corners are one row: n x 4 float32 (x, y, scale, turn) and n x 2 words of 64 bits.
     Equal files of a task are described once (the memo holds a fixed number of images).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, tuple[int, bytes, bytes]] = {}
+        memo: dict[bytes, tuple[int, bytes, bytes] | None] = {}
         for t in batches:
             rows = []
             for i, x in zip(t.column(0).to_pylist(), t.column(1), strict=True):
@@ -165,11 +168,11 @@ def described(images: DataFrame) -> DataFrame:
                 sha = hashlib.sha256(raw).digest()
                 if sha not in memo:
                     image = decode_pnm(raw)
-                    p, c = describe(image) if image is not None else (np.zeros((0, 4)), np.zeros((0, 2), np.uint64))
+                    p, c = describe(image) if image is not None else (None, None)
                     if len(memo) >= MEMO:
                         memo.clear()
-                    memo[sha] = len(p), p.astype(np.float32).tobytes(), c.tobytes()
-                if memo[sha][0]:
+                    memo[sha] = (len(p), p.astype(np.float32).tobytes(), c.tobytes()) if p is not None else None
+                if memo[sha]:
                     rows.append((i, sha, *memo[sha]))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["id", "sha", "n", "points", "codes"])
@@ -238,23 +241,26 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     """(query_id, image_id, n_copies, n_matches, n_inliers) for each image class that a query is a copy of.
 
     Both are (id, image). image_id is the smallest id of the images with equal bytes; n_copies says
-    how many there are. Images without corners match nothing. Null or broken files and null ids are
-    left out. A query id with several images gets the figures of the best of them for each match.
-    Other columns are ignored. Empty tables: no rows.
+    how many there are. Equal files always match, with all their corners as matches, also those
+    without corners, which match nothing else. Null or broken files and null ids are left out. A query
+    id with several images gets the figures of the best of them for each match. Ties between
+    transforms change no figure. Other columns are ignored. Empty tables: no rows. An image of any
+    size is one row's corners in memory.
 
     Corners meet in the tables; a pair of images with MEETINGS of them is then judged on all its
     corners, so a pair's figures are those of a search without tables, which can only miss pairs.
     """
-    index = C.keep(described(images).groupBy("sha").agg(F.min_by(F.struct("id", "n", "points", "codes"), "id").alias("r"), F.count("*").alias("n_copies")).select("r.*", "n_copies"))
+    index = C.keep(described(images).groupBy("sha").agg(F.min_by(F.struct("id", "n", "points", "codes"), "id").alias("r"), F.count("*").alias("n_copies")).select("sha", "r.*", "n_copies"))
     # a query is one file under one id
-    asked = C.keep(described(queries).withColumn("query_id", F.col("id")).withColumn("id", F.xxhash64("id", "sha")).dropDuplicates(["id"]).drop("sha"))
+    asked = C.keep(described(queries).withColumn("query_id", F.col("id")).withColumn("id", F.xxhash64("id", "sha")).dropDuplicates(["id"]))
     # a large bucket is split by Spark: what follows the join is dealt by other keys
     met = tables(asked, near=True).alias("q").join(tables(index).alias("m"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
     pairs = met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match"))
     pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= MEETINGS)
     pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points"), F.col("codes").alias("q_codes")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points"), F.col("codes").alias("m_codes")), "m")
     got = pairs.select("query_id", F.col("m").alias("image_id"), "q_points", "m_points", "q_codes", "m_codes").mapInArrow(_agreeing, "query_id long, image_id long, n_matches long, n_inliers long")
-    best = got.where(f"n_inliers >= {INLIERS}").groupBy("query_id", "image_id").agg(F.max("n_matches").alias("n_matches"), F.max("n_inliers").alias("n_inliers"))
+    equal = asked.select("sha", "query_id").join(index.select("sha", F.col("id").alias("image_id"), F.col("n").cast("long").alias("n_matches")), "sha").select("query_id", "image_id", "n_matches", F.col("n_matches").alias("n_inliers"))
+    best = got.where(f"n_inliers >= {INLIERS}").union(equal).groupBy("query_id", "image_id").agg(F.max("n_matches").alias("n_matches"), F.max("n_inliers").alias("n_inliers"))
     return best.join(index.select(F.col("id").alias("image_id"), "n_copies"), "image_id").select("query_id", "image_id", "n_copies", "n_matches", "n_inliers")
 
 

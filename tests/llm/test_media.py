@@ -31,6 +31,45 @@ def test_copies_are_found(spark):
     assert M.find_copies(empty, empty).count() == 0
 
 
+def turned(image, degrees, factor, r):
+    """The largest upright square within the image turned and scaled about its middle, with some noise."""
+    h, w = image.shape
+    c, s = np.cos(np.radians(degrees)), np.sin(np.radians(degrees))
+    n = int(min(h, w) * factor / (abs(c) + abs(s)))
+    y, x = np.mgrid[0:n, 0:n] - (n - 1) / 2
+    y, x = (h - 1) / 2 + (c * y - s * x) / factor, (w - 1) / 2 + (s * y + c * x) / factor
+    a, b = np.clip(y.astype(int), 0, h - 2), np.clip(x.astype(int), 0, w - 2)
+    fy, fx, v = y - a, x - b, image.astype(np.float32)
+    out = v[a, b] * (1 - fy) * (1 - fx) + v[a, b + 1] * (1 - fy) * fx + v[a + 1, b] * fy * (1 - fx) + v[a + 1, b + 1] * fy * fx
+    return np.clip(out * 0.95 + 5 + r.normal(0, 2, out.shape), 0, 255).astype(np.uint8)
+
+
+def test_recall_on_crops_turns_and_scales(spark):
+    """Nine of ten are found, among few and among more images."""
+    for n in (60, 400):
+        r = np.random.default_rng(n)
+        images = [M.render(r.normal(size=64).tolist()) for _ in range(n)]
+        kinds = [lambda x: M.edited(x, 7), lambda x: turned(x, 90, 1.0, r), lambda x: turned(x, 180, 1.25, r), lambda x: turned(x, 10, 1.0, r), lambda x: turned(x, 0, 0.75, r), lambda x: turned(x, 20, 1.0, r)]
+        asked = [(k * 1000 + i, M.encode_pgm(f(images[i]))) for k, f in enumerate(kinds) for i in range(40)]
+        a, b = (spark.createDataFrame(x, "id long, image binary").repartition(4) for x in (asked, [(i, M.encode_pgm(x)) for i, x in enumerate(images)]))
+        got = {(x.query_id, x.image_id) for x in M.find_copies(a, b).collect()}
+        for k in range(len(kinds)):
+            assert sum((k * 1000 + i, i) in got for i in range(40)) >= 36, (n, k)
+        assert sum(q % 1000 != m for q, m in got) <= 3
+
+
+def test_large_images_and_files_without_corners(spark):
+    r = np.random.default_rng(4)
+    large = np.block([[M.render(r.normal(size=64).tolist()) for _ in range(4)] for _ in range(4)])
+    assert len(M.describe(large.astype(np.float32))[0]) > 8 * len(M.describe(large[:96, :96].astype(np.float32))[0])
+    flat = M.encode_pgm(np.full((30, 30), 7, np.uint8))
+    rows = [(1, M.encode_pgm(large), "x"), (2, flat, "y"), (3, flat, "z"), (4, b"P5 4 4 255\nxx", "n"), (None, flat, "m"), (5, None, "k")]
+    images = spark.createDataFrame(rows, "id long, image binary, sha string")
+    part = spark.createDataFrame([(7, M.encode_pgm(large[200:290, 100:190])), (8, flat), (9, b"P5 4 4 255\nxx")], "id long, image binary")
+    got = {(x.query_id, x.image_id): (x.n_copies, x.n_matches) for x in M.find_copies(part, images).collect()}
+    assert set(got) == {(7, 1), (8, 2)} and got[8, 2] == (2, 0)
+
+
 def test_tables_find_what_a_full_search_finds(spark):
     r = np.random.default_rng(6)
     v = spark.createDataFrame([(i, r.normal(size=64).tolist()) for i in range(150)], "id long, vector array<double>").repartition(3)
