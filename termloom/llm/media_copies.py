@@ -254,7 +254,8 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     # a query is one file under one id
     asked = C.keep(described(queries).withColumn("query_id", F.col("id")).withColumn("id", F.xxhash64("id", "sha")).dropDuplicates(["id"]))
     # a large bucket is split by Spark: what follows the join is dealt by other keys
-    met = tables(asked, near=True).alias("q").join(tables(index).alias("m"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
+    # merged at any size: what a query asks for is far larger than the file that Spark would judge it by
+    met = tables(asked, near=True).alias("q").join(tables(index).alias("m").hint("merge"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
     pairs = met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match"))
     pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= MEETINGS)
     pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points"), F.col("codes").alias("q_codes")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points"), F.col("codes").alias("m_codes")), "m")
