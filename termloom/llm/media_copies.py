@@ -180,16 +180,17 @@ def described(images: DataFrame) -> DataFrame:
     return images.where("id is not null").select(F.col("id").cast("long"), F.col("image").cast("binary")).mapInArrow(run, DESCRIBED)
 
 
-def tables(images: DataFrame, near: bool = False) -> DataFrame:
+def tables(images: DataFrame, near: bool = False, only: int | None = None) -> DataFrame:
     """TABLE of (id, codes): a row for each corner and table, whose block of BLOCK_BITS bits is in the key.
 
-    With ``near`` also rows for the keys one bit from it.
+    With ``near`` also rows for the keys one bit from it; with ``only`` the rows of that table alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, count = 1 << np.arange(BLOCK_BITS, dtype=np.int64), BITS // BLOCK_BITS
         flips = np.concatenate(([0], weight)) if near else np.zeros(1, np.int64)
-        rows, step = count * len(flips), (1 << 14) // len(flips)
+        nos = np.arange(count) if only is None else np.array([only])
+        rows, step = len(nos) * len(flips), (1 << 16) // (len(nos) * len(flips))
         for t in batches:
             raw, offs = C.column_bytes(t.column(1))
             code, size = raw.view(np.uint64).reshape(-1, 2), np.diff(offs) // 16
@@ -197,8 +198,8 @@ def tables(images: DataFrame, near: bool = False) -> DataFrame:
             ids = np.repeat(t.column(0).to_numpy(), size)
             for a in range(0, len(code), step):
                 x = code[a : a + step]
-                b = np.unpackbits(x.view(np.uint8), axis=1).reshape(len(x), count, BLOCK_BITS)
-                key = ((b @ weight)[:, :, None] ^ flips | (np.arange(count, dtype=np.int64) << 40)[:, None]).ravel()
+                b = np.unpackbits(x.view(np.uint8), axis=1).reshape(len(x), count, BLOCK_BITS)[:, nos]
+                key = ((b @ weight)[:, :, None] ^ flips | (nos.astype(np.int64) << 40)[:, None]).ravel()
                 y, at = np.repeat(x.view(np.int64), rows, axis=0), slice(a, a + len(x))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(ids[at], rows)), pa.array(np.repeat(no[at], rows).astype(np.int32)), pa.array(y[:, 0].copy()), pa.array(y[:, 1].copy())], ["key", "id", "no", "d_0", "d_1"])
 
@@ -253,10 +254,14 @@ def find_copies(queries: DataFrame, images: DataFrame) -> DataFrame:
     index = C.keep(described(images).groupBy("sha").agg(F.min_by(F.struct("id", "n", "points", "codes"), "id").alias("r"), F.count("*").alias("n_copies")).select("sha", "r.*", "n_copies"))
     # a query is one file under one id
     asked = C.keep(described(queries).withColumn("query_id", F.col("id")).withColumn("id", F.xxhash64("id", "sha")).dropDuplicates(["id"]))
-    # a large bucket is split by Spark: what follows the join is dealt by other keys
-    # merged at any size: what a query asks for is far larger than the file that Spark would judge it by
-    met = tables(asked, near=True).alias("q").join(tables(index).alias("m").hint("merge"), F.expr(f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"))
-    pairs = met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match"))
+    near = f"q.key = m.key and bit_count(q.d_0 ^ m.d_0) + bit_count(q.d_1 ^ m.d_1) <= {MOST_APART}"
+    pairs = None
+    for i in range(BITS // BLOCK_BITS):  # one table after the other: only one's rows are on disk
+        # merged at any size: what a query asks for is far larger than the file that Spark would judge it
+        # by. A large bucket is split by Spark: what follows the join is dealt by other keys.
+        met = tables(asked, True, i).alias("q").join(tables(index, False, i).alias("m").hint("merge"), F.expr(near))
+        met = C.keep(met.select(F.col("q.id").alias("q"), F.col("m.id").alias("m"), (F.col("q.no") * 65536 + F.col("m.no")).alias("match")))
+        pairs = met if pairs is None else pairs.union(met)
     pairs = pairs.groupBy("q", "m").agg(F.collect_set("match").alias("matches")).where(F.size("matches") >= MEETINGS)
     pairs = pairs.join(asked.select(F.col("id").alias("q"), "query_id", F.col("points").alias("q_points"), F.col("codes").alias("q_codes")), "q").join(index.select(F.col("id").alias("m"), F.col("points").alias("m_points"), F.col("codes").alias("m_codes")), "m")
     got = pairs.select("query_id", F.col("m").alias("image_id"), "q_points", "m_points", "q_codes", "m_codes").mapInArrow(_agreeing, "query_id long, image_id long, n_matches long, n_inliers long")
