@@ -1,7 +1,7 @@
 """Text expressions: normalisation, tokens, folding, entities and markup.
 
-Everything is a Column expression but ``stem``, ``fold_exact``, ``decode_entities`` and
-``utf8_prefix``, which Spark has no built-in for and which are Arrow-batched.
+Everything is a Column expression but ``stem``, ``fold_exact``, ``utf8_prefix`` and, for texts that hold an
+ampersand, ``decode_entities``, which Spark has no built-in for and which are Arrow-batched.
 """
 
 from __future__ import annotations
@@ -123,13 +123,24 @@ def decode_text(text: str) -> str:
     return _ENTITY.sub(one, text)
 
 
-@F.pandas_udf(StringType())
-def decode_entities(text: pd.Series) -> pd.Series:
-    """Decimal, hexadecimal and named references that end in a semicolon; unknown ones stay."""
-    return text.map(lambda x: None if x is None else decode_text(x))
+def decode_entities(text: Column, times: int = 1) -> Column:
+    """Decimal, hexadecimal and named references that end in a semicolon; unknown ones stay.
+
+    Texts without an ampersand don't leave the JVM.
+    """
+
+    @F.pandas_udf(StringType())
+    def decode(x: pd.Series) -> pd.Series:
+        for _ in range(times):
+            x = x.map(lambda y: None if y is None else decode_text(y))
+        return x
+
+    return F.coalesce(decode(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 _TRAILING_LANGUAGES = "(?dU)(?:\\n\\[\\[[a-z][a-z][\\w-]*:[^:\\]]+\\]\\])+$"
+#: What a text must hold for the pattern of the same place in ROUND to match.
+_NEEDS = ["<!--", "<ref", "<nowiki", "<math", "<", "{{", "{{", "://", "\n[[", "\n[[", "|", "||", "\n", "\n", "[]"]
 #: Fixed values. One round of markup removal: (pattern, replacement).
 ROUND = [
     ("(?s)<!--.*?-->", ""),
@@ -164,15 +175,25 @@ def strip_templates(text: Column) -> Column:
     return text
 
 
+def _where(need: str, pattern: str, new: str, text: Column) -> Column:
+    """The replacement, only where the text holds ``need``. As a lambda, so that the text is computed once."""
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(F.contains(t, F.lit(need)), F.regexp_replace(t, F.lit(pattern), F.lit(new))).otherwise(t)), 1)
+
+
 def one_round(text: Column) -> Column:
-    for pattern, new in ROUND:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(new))
+    for need, (pattern, new) in zip(_NEEDS, ROUND, strict=True):
+        text = _where(need, pattern, new, text)
     return text
 
 
+def strip_languages(text: Column) -> Column:
+    """Without the links to other languages at the end."""
+    return _where("[[", _TRAILING_LANGUAGES, "", text)
+
+
 def plain_text(text: Column, rounds: int = 3) -> Column:
     """Wiki markup to plain text. A round on a fixpoint changes nothing, so three are unrolled."""
-    text = F.regexp_replace(decode_entities(decode_entities(text)), F.lit(_TRAILING_LANGUAGES), F.lit(""))
+    text = strip_languages(decode_entities(text, 2))
     for _ in range(rounds):
         text = one_round(text)
     return F.translate(text, "[]", "")

@@ -66,24 +66,31 @@ def read(spark, path: str) -> DataFrame:
 
 
 def write(index: DataFrame, folder: str, file_id: int = 0) -> None:
-    """One file a shard in a folder that all executors share, renamed into place when whole."""
-    import os
+    """Files of term ranges of a shard, numbered from ``file_id`` on, moved into place when whole.
+
+    ``folder`` is the address of one that all executors reach. A task that is run again overwrites
+    its own files.
+    """
+    from pyarrow import fs
+    from pyspark import TaskContext
 
     def run(batches):
+        files, root = fs.FileSystem.from_uri(folder)
         out, now, name = None, None, None
         for b in batches:
             for s, r in zip(b["shard"], b["record"], strict=True):
                 if s != now:
                     if out:
                         out.close()
-                        os.replace(name + ".part", name)
-                    now, name = s, f"{folder}/output-r{s:06d}-p{file_id:018d}"
-                    out = open(name + ".part", "wb")  # noqa: SIM115
+                        files.move(name + ".part", name)
+                    now, name = s, f"{root}/output-r{s:06d}-p{file_id + TaskContext.get().partitionId():018d}"
+                    out = files.open_output_stream(name + ".part")
                 out.write(bytes(r))
         if out:
             out.close()
-            os.replace(name + ".part", name)
+            files.move(name + ".part", name)
         yield pd.DataFrame({"ok": [True]})
 
-    os.makedirs(folder, exist_ok=True)
-    encode(index).repartition("shard").sortWithinPartitions("shard", "term").mapInPandas(run, "ok boolean").count()
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root)
+    encode(index).repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").mapInPandas(run, "ok boolean").count()

@@ -19,10 +19,12 @@ def tokens(docs: DataFrame, flush_tail: bool = False, max_word: int = T.MAX_WORD
     return docs.select("doc_id", F.explode(T.tokens(T.until_nul("text"), flush_tail)).alias("token")).select("doc_id", T.term(F.col("token"), max_word).alias("term"))
 
 
-def stemmed(words: DataFrame, language: str = "english") -> DataFrame:
-    """(doc_id, term) with stems: words are few and repeat, so distinct ones are stemmed and joined back."""
-    stems = words.select("term").distinct().withColumn("stem", T.stem_udf(language)("term"))
-    return words.join(stems, "term").select("doc_id", F.col("stem").alias("term"))
+def stemmed_counts(words: DataFrame, language: str = "english") -> DataFrame:
+    """(doc_id, term, tf) of stems. Words are counted by document first; of what they are then, each
+    distinct one is stemmed and joined back."""
+    counts = term_counts(words)
+    stems = counts.select("term").distinct().withColumn("stem", T.stem_udf(language)("term"))
+    return counts.join(stems, "term").groupBy("doc_id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def term_counts(words: DataFrame) -> DataFrame:
@@ -33,11 +35,15 @@ def term_counts(words: DataFrame) -> DataFrame:
 def build(words: DataFrame, shards: int) -> DataFrame:
     """(shard, term, df, postings) of (doc_id, term).
 
-    The words are dealt by (shard, term) once; the count by document and the posting list are then
-    both made in that partitioning, without another shuffle.
+    Occurrences are counted before they move; what is dealt out is a row for each word of a document,
+    so that a frequent word of one document, or a text that is one word over and over, costs one row.
     """
-    dealt = words.withColumn("shard", V.shard_of(F.col("doc_id"), shards)).repartition("shard", "term")
-    return postings(dealt.groupBy("shard", "term", "doc_id").agg(F.count("*").alias("tf")))
+    return from_counts(term_counts(words), shards)
+
+
+def from_counts(counts: DataFrame, shards: int) -> DataFrame:
+    """(shard, term, df, postings) of (doc_id, term, tf)."""
+    return postings(counts.withColumn("shard", V.shard_of(F.col("doc_id"), shards)))
 
 
 def postings(counts: DataFrame) -> DataFrame:
@@ -75,8 +81,8 @@ def as_text(index: DataFrame) -> DataFrame:
 
 
 def write(index: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet by shard, terms ascending within a file."""
-    index.repartition("shard").sortWithinPartitions("shard", "term").write.mode(mode).partitionBy("shard").parquet(path)
+    """Parquet by shard; a file holds a range of terms, ascending, and a large shard has several."""
+    index.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.mode(mode).partitionBy("shard").parquet(path)
 
 
 def tfidf_top(counts: DataFrame, n_docs: int, k: int) -> DataFrame:

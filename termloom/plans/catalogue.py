@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from termloom.functions import stemmers
 from termloom.functions import text as T
 from termloom.functions import values as V
 from termloom.operators import codec, index, lineage, mapreduce, status
-from termloom.sources import archives, scratch
+from termloom.sources import archives, config, scratch
 from termloom.streaming import incremental
 
 SHARDS = 8
@@ -186,15 +187,68 @@ for _name, _step in (("o26_strip_footnotes", 1), ("o27_strip_nowiki", 2), ("o28_
     _markup_query(_name, _step)
 
 
-@query()
+#: One round as DuckDB's patterns, written for it: [text -> text].
+_LINES_SQL = "array_to_string([CASE WHEN i > 1 AND i < len(string_split({0}, chr(10))) AND regexp_matches(string_split({0}, chr(10))[i], '^([{{][|]|[|]-|[|][}}])') THEN '' ELSE string_split({0}, chr(10))[i] END for i in range(1, len(string_split({0}, chr(10))) + 1)], chr(10))"
+_ROUND_SQL = [
+    *(f"regexp_replace({{0}}, '(?s){p}', '', 'g')" for p in ("<!--.*?-->", "<ref[> ].*?(</ref>|/>)", "<nowiki[> ].*?(</nowiki>|/>)", "<math[> ].*?(</math>|/>)", "<.*?>")),
+    "regexp_replace({0}, '[{{][{{][^}}{{]*[}}][}}]', '', 'g')",
+    "regexp_replace({0}, '[{{][{{][^}}]*[}}][}}]', '', 'g')",
+    "regexp_replace({0}, '\\[\\w+://[^ \\]\\n]*( ([^\\]\\n]*))?\\]', '\\1', 'g')",
+    "regexp_replace({0}, '\\n\\[\\[[iI]mage[^\\n]*?([|][^\\n]*?)*[|]([^\\n]*?)\\]\\]', chr(10) || '\\2', 'g')",
+    "regexp_replace({0}, '\\n\\[\\[[fF]ile[^\\n]*?([|][^\\n]*?)*[|]([^\\n]*?)\\]\\]', chr(10) || '\\2', 'g')",
+    "regexp_replace({0}, '\\[([^\\]\\[]*)[|]([^\\]\\[]*)\\]', '\\2', 'g')",
+    "replace({0}, '||', chr(10) || '|')",
+    _LINES_SQL,
+    "regexp_replace({0}, '\\n[|!]([^\\n]*[|])?', chr(10), 'g')",
+    "replace({0}, '[]', '')",
+]
+_LANGUAGES_SQL = "regexp_replace({0}, '(\\n\\[\\[[a-z][a-z][\\w-]*:[^:\\]]+\\]\\])+$', '')"
+
+
+def _clean_sql(source: str) -> str:
+    """SELECT of (doc_id, title, text) with cleaned texts, of a SELECT of (doc_id, title, text): a step a level."""
+    for step in [_LANGUAGES_SQL, *_ROUND_SQL * 3, "replace(replace({0}, '[', ''), ']', '')"]:
+        source = f"SELECT doc_id, title, {step.format('text')} AS text FROM ({source})"
+    return source
+
+
+@query(f"SELECT doc_id, text FROM ({_clean_sql(f'SELECT doc_id, NULL AS title, {_MARKED} AS text FROM documents')})")
 def o38_plain_text(spark, sf_dir):
     return _marked(spark, sf_dir).select("doc_id", T.plain_text(F.col("text")).alias("text"))
 
 
+@query(f"SELECT doc_id, text FROM ({_clean_sql(f'SELECT doc_id, NULL AS title, {_WIKI_SQL} AS text FROM documents')})")
+def o38_all_markup(spark, sf_dir):
+    return _wiki(spark, sf_dir).select("doc_id", T.plain_text(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {_LANGUAGES_SQL.format('text')} AS text FROM (SELECT doc_id, text || chr(10) || '[[' || lang || ':' || source || ']]' || chr(10) || '[[zh-yue:x]]' AS text FROM documents)")
+def o24_trailing_languages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat(text, '\n[[', lang, ':', source, ']]\n[[zh-yue:x]]')").alias("text"))
+    return d.select("doc_id", T.strip_languages(F.col("text")).alias("text"))
+
+
+def _step_query(name: str, step: int, sql: str):
+    def run(spark, sf_dir):
+        return _wiki(spark, sf_dir).select("doc_id", F.regexp_replace("text", *map(F.lit, T.ROUND[step])).alias("text"))
+
+    run.__name__ = name
+    query(f"SELECT doc_id, {sql.format('text')} AS text FROM (SELECT doc_id, {_WIKI_SQL} AS text FROM documents)")(run)
+
+
+_step_query("o35_table_lines", 12, _ROUND_SQL[12])
+
+
+@query(f"SELECT doc_id, {_ROUND_SQL[7].format('text')} AS text FROM (SELECT doc_id, {_MARKED} || '[ftp://' || lang || '.org]' AS text FROM documents)")
+def o31_external_links(spark, sf_dir):
+    d = _marked(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").select("doc_id", F.concat("text", F.lit("[ftp://"), "lang", F.lit(".org]")).alias("text"))
+    return d.select("doc_id", F.regexp_replace("text", *map(F.lit, T.ROUND[7])).alias("text"))
+
+
 @query("SELECT doc_id, replace(replace(replace(t, '&lt;', '<'), '&#39;', ''''), '&amp;', '&') AS text FROM (SELECT doc_id, source || ' &lt; ' || lang || '&#39;s &amp; ' || doc_id AS t FROM documents)")
 def o23_entities(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.expr("concat(source, ' &lt; ', lang, '&#39;s &amp; ', cast(doc_id as string))").alias("t"))
-    return d.select("doc_id", T.decode_entities("t").alias("text"))
+    return d.select("doc_id", T.decode_entities(F.col("t")).alias("text"))
 
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE length(text) > 500")
@@ -217,56 +271,59 @@ def _folder_of_archives(spark, sf_dir):
 @query("SELECT doc_id, length(text) AS n_chars FROM documents WHERE text <> ''")
 def o04_archive_scan(spark, sf_dir):
     """Also writes: the archives that it scans are made from documents."""
-    return archives.scan(spark, "file://" + _folder_of_archives(spark, sf_dir)).select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
+    return archives.scan(spark, _folder_of_archives(spark, sf_dir)).select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
 
 
-@query("SELECT sum(n_docs)::BIGINT AS n_docs FROM (SELECT count(*) AS n_docs FROM documents)")
+@query("SELECT 'doc-' || doc_id || '-' || source AS member, text FROM documents WHERE text <> ''")
 def o13_archive_writer(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), F.col("source").alias("title"), "text")
-    return archives.pack(d, 1 << 20).agg(F.sum("n_docs").alias("n_docs"))
+    """The members of the archives that are written, read back."""
+    return archives.scan(spark, _folder_of_archives(spark, sf_dir)).select("member", "text")
 
 
 @query()
 def o02_directory_listing(spark, sf_dir):
-    return archives.listing(spark, "file://" + _folder_of_archives(spark, sf_dir)).select("file_id", "length")
+    return archives.listing(spark, _folder_of_archives(spark, sf_dir)).select("file_id", "length")
 
 
-@query()
+@query(f"SELECT row_number() OVER (ORDER BY title, text) AS n, title, length(text) AS n_chars FROM ({_clean_sql("SELECT doc_id, source || '-' || doc_id AS title, text FROM documents")}) WHERE length(text) > 500")
 def o06_wiki_dump(spark, sf_dir):
     folder = scratch.folder(spark, "dump")
     pages = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("title"), F.struct("text").alias("revision"))
-    pages.write.mode("overwrite").format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save("file://" + folder)
-    return archives.articles(archives.wiki_pages(spark, "file://" + folder)).select("n", "title", F.char_length("text").alias("n_chars"))
+    pages.write.mode("overwrite").format("xml").option("rowTag", "page").option("rootTag", "mediawiki").save(folder)
+    return archives.articles(archives.wiki_pages(spark, folder)).select("n", "title", F.char_length("text").alias("n_chars"))
 
 
 @query(_INDEX)
 def o07_codec_round_trip(spark, sf_dir):
     folder = scratch.folder(spark, "codec")
     codec.write(index.build(_words(spark, sf_dir), SHARDS), folder)
-    return index.as_text(codec.read(spark, "file://" + folder))
+    return index.as_text(codec.read(spark, folder))
 
 
-@query(f"WITH {_TF} SELECT CAST(doc_id % {SHARDS} AS INTEGER) AS shard, count(DISTINCT term) AS n_terms FROM tf GROUP BY ALL")
+@query(_INDEX)
 def o10_partitioned_writer(spark, sf_dir):
+    """The whole content of the written index, read back."""
     folder = scratch.folder(spark, "index")
-    index.write(index.build(_words(spark, sf_dir), SHARDS), "file://" + folder)
-    return spark.read.parquet("file://" + folder).groupBy("shard").agg(F.count("*").alias("n_terms"))
+    index.write(index.build(_words(spark, sf_dir), SHARDS), folder)
+    return index.as_text(spark.read.parquet(folder))
 
 
-@query("SELECT CAST(doc_id % 8 AS INTEGER) AS shard, true AS has_files FROM documents GROUP BY ALL")
+@query(f"WITH {_TF} SELECT CAST(doc_id % {SHARDS} AS INTEGER) AS shard, CAST(sum(n) AS BIGINT) AS bytes FROM (SELECT doc_id % {SHARDS} AS doc_id, term, 4 + strlen(term) + 4 + 8 * count(*) + 1 AS n FROM tf GROUP BY doc_id % {SHARDS}, term) GROUP BY ALL")
 def o13c_result_listing(spark, sf_dir):
+    """Bytes of the listed files of each shard: those of its records."""
     folder = scratch.folder(spark, "listed")
-    index.write(index.build(_words(spark, sf_dir), SHARDS), "file://" + folder)
-    return lineage.result_files("file://" + folder, spark).groupBy("shard").agg((F.min("bytes") > 0).alias("has_files"))
+    codec.write(index.build(_words(spark, sf_dir), SHARDS), folder)
+    files = archives.listing(spark, folder)
+    return files.groupBy(V.parsed_file_name(F.element_at(F.split("path", "/"), -1))["shard"].cast("int").alias("shard")).agg(F.sum("length").alias("bytes"))
 
 
 @query(_INDEX)
 def o96_stream_index(spark, sf_dir):
     """Documents arrive in four files; the merged index of all micro-batches."""
     folder = scratch.folder(spark, "stream")
-    table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4).write.parquet(f"file://{folder}/in")
-    incremental.run(incremental.document_stream(spark, f"file://{folder}/in"), f"file://{folder}", SHARDS)
-    return index.as_text(incremental.merged(spark, f"file://{folder}"))
+    table(spark, sf_dir, "documents").select("doc_id", "text").repartition(4).write.parquet(f"{folder}/in")
+    incremental.run(incremental.document_stream(spark, f"{folder}/in"), f"{folder}", SHARDS)
+    return index.as_text(incremental.merged(spark, f"{folder}"))
 
 
 class _WordMapper:
@@ -292,6 +349,24 @@ def o101_map_reduce(spark, sf_dir):
     return mapreduce.run_reduce_twice(mapped, ["term"], _SumReducer(), 2)
 
 
+class _Lines:
+    schema = "text string"
+
+    def input(self):
+        yield from ((f"{chr(97 + i % 7)} and 12",) for i in range(100))
+
+
+class _KeyedSum(_SumReducer):
+    key = ("term",)
+
+
+@query("SELECT chr(CAST(97 + i % 7 AS INTEGER)) AS term, count(*) AS n FROM range(100) t(i) GROUP BY ALL UNION ALL SELECT 'and', 100")
+def o09_configured_job(spark, sf_dir):
+    """A job given as JSON, whose modules are loaded by name."""
+    place = __name__
+    return config.JobConfig.parse(json.dumps({"num-reducer": 2, "input-module": f"{place}._Lines", "map-module": f"{place}._WordMapper", "reduce-module": f"{place}._KeyedSum"})).run(spark)
+
+
 class _CountPostings:
     schema = "term string, df long, total long"
 
@@ -405,6 +480,17 @@ def o49_process_totals(spark, sf_dir):
     return status.totals(_acks(spark, sf_dir))
 
 
+@query("SELECT nick, row_number() OVER (ORDER BY nick) AS place FROM (SELECT DISTINCT event_type AS nick FROM events)")
+def o60_masters_by_nick(spark, sf_dir):
+    return lineage.numbered(_acks(spark, sf_dir).select("nick").distinct(), ["nick"], "place", 1)
+
+
+@query()
+def o108_job_status(spark, sf_dir):
+    """Active jobs, stages and tasks of the session as one row of JSON."""
+    return spark.createDataFrame([(json.dumps(status.job_status(spark.sparkContext.statusTracker())),)], "status string")
+
+
 @query(f"WITH {_ACKS} SELECT nick, round(sum(bytes) / (sum(seconds) * 1048576), 9) AS mib_s FROM acks GROUP BY ALL")
 def o50_throughput(spark, sf_dir):
     return status.throughput(_acks(spark, sf_dir), "nick").select("nick", F.round("mib_s", 9).alias("mib_s"))
@@ -485,7 +571,7 @@ def tfidf_topk(spark, sf_dir):
 
 @query()
 def index_stemmed(spark, sf_dir):
-    return index.as_text(index.build(index.stemmed(_words(spark, sf_dir)), SHARDS))
+    return index.as_text(index.from_counts(index.stemmed_counts(_words(spark, sf_dir)), SHARDS))
 
 
 def _stem_query(number: int, language: str):

@@ -17,6 +17,10 @@ from termloom.operators.lineage import numbered
 from termloom.sources import scratch
 
 
+#: Members are handed on once they are so many bytes together.
+FRAME_BYTES = 16 << 20
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, file_id): files in path order, ids from 0. File contents are not read."""
     return numbered(spark.read.format("binaryFile").load(path).select("path", "length"), ["path"], "file_id")
@@ -42,8 +46,15 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     def run(batches):
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
-                rows = list(_members(bytes(c)))
-                yield pd.DataFrame({"archive": [p] * len(rows), "member": [m for m, _ in rows], "raw": [r for _, r in rows]})
+                names, raws, size = [], [], 0
+                for m, r in _members(bytes(c)):
+                    names.append(m)
+                    raws.append(r)
+                    size += len(r)
+                    if size >= FRAME_BYTES:
+                        yield pd.DataFrame({"archive": [p] * len(names), "member": names, "raw": raws})
+                        names, raws, size = [], [], 0
+                yield pd.DataFrame({"archive": [p] * len(names), "member": names, "raw": raws})
 
     members = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, raw binary")
     out = members.select("archive", "member", V.member_doc_id(F.col("member")).alias("doc_id"), T.normalised(F.col("raw")).alias("text"))
@@ -60,8 +71,8 @@ def articles(pages: DataFrame, least: int = 500) -> DataFrame:
     """(n, title, text): cleaned texts of more than ``least`` code points, numbered from 1 by title."""
     # Written once: the filter, the sampling for the range sort and the sort would each clean the texts anew.
     spark, path = pages.sparkSession, scratch.folder(pages.sparkSession, "articles")
-    pages.select("title", T.plain_text(F.col("text")).alias("text")).write.parquet(f"file://{path}/cleaned")
-    kept = spark.read.parquet(f"file://{path}/cleaned").where(F.char_length("text") > least)
+    pages.select("title", T.plain_text(F.col("text")).alias("text")).write.parquet(f"{path}/cleaned")
+    kept = spark.read.parquet(f"{path}/cleaned").where(F.char_length("text") > least)
     return numbered(kept, ["title", "text"], "n", 1).select("n", "title", "text")
 
 
@@ -97,15 +108,19 @@ def pack(docs: DataFrame, threshold: int = 66_060_288) -> DataFrame:
 
 
 def write(docs: DataFrame, folder: str, threshold: int = 66_060_288) -> None:
-    """The archives of ``pack`` as files of a shared folder, renamed into place when whole."""
+    """The archives of ``pack`` as files of a folder, given by its address, that all executors reach;
+    moved into place when whole."""
+    from pyarrow import fs
 
     def run(batches):
+        files, root = fs.FileSystem.from_uri(folder)
         for b in batches:
             for name, raw in zip(b["archive"], b["content"], strict=True):
-                with open(f"{folder}/.{name}", "wb") as f:
+                with files.open_output_stream(f"{root}/.{name}") as f:
                     f.write(bytes(raw))
-                os.replace(f"{folder}/.{name}", f"{folder}/{name}")
+                files.move(f"{root}/.{name}", f"{root}/{name}")
         yield pd.DataFrame({"ok": [True]})
 
-    os.makedirs(folder, exist_ok=True)
+    files, root = fs.FileSystem.from_uri(folder)
+    files.create_dir(root)
     pack(docs, threshold).mapInPandas(run, "ok boolean").count()

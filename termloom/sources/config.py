@@ -36,3 +36,20 @@ class JobConfig:
 
     def apply(self, spark) -> None:
         spark.conf.set("spark.sql.shuffle.partitions", str(self.num_reducer))
+
+    def run(self, spark):
+        """The rows of the job whose input, map and reduce classes the modules name.
+
+        The input has a ``schema``; a reducer has its ``key`` columns and reduces in two levels.
+        Without a reduce module the mapped rows are the result, without a map module the input's.
+        """
+        from termloom.operators import mapreduce
+
+        source = mapreduce.load(self.input_module)()
+        rows = mapreduce.source(spark, source, source.schema)
+        if self.map_module:
+            rows = mapreduce.run_map(rows, mapreduce.load(self.map_module)())
+        if self.reduce_module:
+            reducer = mapreduce.load(self.reduce_module)()
+            rows = mapreduce.run_reduce_twice(rows, list(reducer.key), reducer, self.num_reducer)
+        return rows

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 
@@ -10,13 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path, without a scheme, below spark.checkpoint.dir; below a local folder only where that is unset."""
+    """The address of a new folder below spark.checkpoint.dir, on whatever file system that is.
+
+    Where that is unset, a local session gets a temporary folder and a cluster an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", "file://" + root)
-    if "://" in root and not root.startswith("file://"):
-        raise ValueError(f"{name} writes plain files and needs a mounted shared folder, not {root}")
-    path = os.path.join(root.removeprefix("file://"), f"{name}-{uuid.uuid4().hex}")
-    os.makedirs(path, exist_ok=True)
-    return path
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{name} needs spark.checkpoint.dir to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="termloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    if "://" not in root:
+        root = "file://" + root.removeprefix("file:")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -3,13 +3,15 @@
 import collections
 import io
 import tarfile
+import types
 import zipfile
 
 import pandas as pd
 import pytest
 
+from termloom.functions import stemmers
 from termloom.operators import codec, index, lineage, mapreduce
-from termloom.sources import archives
+from termloom.sources import archives, config, scratch
 from termloom.streaming import incremental
 
 
@@ -53,6 +55,37 @@ def test_codec(tmp_path, spark):
     assert flat(codec.read(spark, f"file://{tmp_path}/i")) == flat(built)
 
 
+def test_a_shard_has_several_files(tmp_path, spark):
+    words = spark.range(3000).selectExpr("id % 50 * 2 as doc_id", "concat('w', id % 700) as term")
+    built = index.build(words, 2)  # all in shard 0
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        codec.write(built, f"file://{tmp_path}/i")
+        index.write(built, f"file://{tmp_path}/p")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "i").glob("output-r000000-p*"))) > 1 and len(list((tmp_path / "p" / "shard=0").glob("*.parquet"))) > 1
+    assert flat(codec.read(spark, f"file://{tmp_path}/i")) == flat(spark.read.parquet(f"file://{tmp_path}/p")) == flat(built)
+
+
+def test_stemmed_counts_equal_brute_force(spark):
+    d = spark.createDataFrame([(1, "running runs run runner. "), (2, "Runs RUNNING hopping hoped "), (1, "run "), (3, None)], "doc_id long, text string")
+    want = collections.Counter((r.doc_id, stemmers.stem(r.term, "english")) for r in index.tokens(d).collect())
+    assert {(r.doc_id, r.term): r.tf for r in index.stemmed_counts(index.tokens(d)).collect()} == want
+
+
+def test_configured_job_and_shared_folders(spark):
+    with pytest.raises(ValueError):
+        config.JobConfig.parse('{"num-reducer": 0}')
+    place = "termloom.plans.catalogue"
+    job = config.JobConfig.parse(f'{{"input-module": "{place}._Lines", "map_module": "{place}._WordMapper"}}')
+    assert sum(r.n for r in job.run(spark).collect()) == 200
+    assert scratch.folder(spark, "x").rpartition("/")[0] == scratch.folder(spark, "y").rpartition("/")[0]
+    bare = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d=None: d), sparkContext=types.SimpleNamespace(master="spark://x", getConf=dict))
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.folder(bare, "z")
+
+
 def test_archives(tmp_path, spark):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("doc-7-t", "seven ")
@@ -76,9 +109,9 @@ def test_archive_writer_rolls_over(spark):
 
 
 def test_lineage(spark):
-    files = spark.createDataFrame([(0, 0, 45), (0, 1, 32), (0, 3, 331), (1, 5, 22), (1, 6, 99)], "shard int, file_id long, bytes long")
+    files = spark.createDataFrame([(0, 0, 10), (0, 1, 7), (0, 3, 250), (1, 5, 64), (1, 6, 12)], "shard int, file_id long, bytes long")
     got = {r.shard: (r.n_files, r.bytes, list(r.file_ids)) for r in lineage.files_by_shard(files.where("file_id < 3"), files.where("file_id >= 3")).collect()}
-    assert got == {0: (3, 408, [0, 1, 3]), 1: (2, 121, [5, 6])}
+    assert got == {0: (3, 267, [0, 1, 3]), 1: (2, 76, [5, 6])}
     used = spark.createDataFrame([(1,), (9,), (1,)], "file_id long")
     assert sorted(r.file_id for r in lineage.active_files(files, used).collect()) == [0, 3, 5, 6]
     assert [r.file_id for r in lineage.orphan_acks(files, used).collect()] == [9]
