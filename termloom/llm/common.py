@@ -276,18 +276,18 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every node in links(a, b): the smallest id that it reaches.
 
     Alternating large-star and small-star passes; each pass is a min-aggregation and a join back,
-    so a node with very many neighbours is pre-aggregated and its join can be split. Every pass is
-    written to the shared folder. Ends when a pass changes nothing. Self links and repeats are
+    so a node with very many neighbours is pre-aggregated. What is joined is written first: Spark
+    can split such a node in a join of plain shuffles. Ends when a pass changes nothing. Self links and repeats are
     allowed; null ends are ignored; no links give no rows.
     """
     e = keep(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     place, state = mark() - 1, None
     while True:
         both = e.union(e.select("b", "a"))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = keep(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(low.where("a > m").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = keep(large.union(low.where("a > m").select("a", F.col("m").alias("b"))).distinct())
+        low = keep(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = keep(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         settle(place, e)
