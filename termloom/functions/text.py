@@ -1,6 +1,6 @@
 """Text expressions: normalisation, tokens, folding, entities and markup.
 
-Everything is a Column expression but ``stem``, ``fold_exact``, ``utf8_prefix`` and, for texts that hold an
+Everything is a Column expression but ``stem``, ``fold_exact`` and, for texts that hold an
 ampersand, ``decode_entities``, which Spark has no built-in for and which are Arrow-batched.
 """
 
@@ -43,26 +43,18 @@ def to_unicode(raw: Column, errors: str = "strict") -> Column:
     return replaced if errors == "replace" else F.when(F.is_valid_utf8(raw), raw.cast("string")).otherwise(F.replace(replaced, F.lit("\ufffd"), F.lit("")))
 
 
-@F.pandas_udf(StringType())
-def utf8_prefix(raw: pd.Series) -> pd.Series:
-    """The longest valid UTF-8 prefix without a zero byte; null where it is empty."""
-
-    def one(x):
-        if x is None:
-            return None
-        x = bytes(x).split(b"\0", 1)[0]
-        try:
-            return x.decode() or None
-        except UnicodeDecodeError as e:
-            return x[: e.start].decode() or None
+def utf8_prefix(raw: Column) -> Column:
+    """The longest valid UTF-8 prefix without a zero byte; null where it is empty.
 
-    return raw.map(one)
+    Bytes before the first zero byte have none, so it can stand for U+FFFD while U+FFFD marks bad bytes.
+    """
+    marked = F.make_valid_utf8(F.replace(until_nul(raw.cast("string")), F.lit("\ufffd"), F.lit("\0")))
+    return F.nullif(F.replace(F.substring_index(marked, "\ufffd", 1), F.lit("\0"), F.lit("\ufffd")), F.lit(""))
 
 
 def normalised(raw: Column, most: int = MAX_BYTES) -> Column:
-    """Document text of a binary column: capped, then its valid prefix. The UDF sees only bad bytes."""
-    cut = capped_bytes(raw, most)
-    return F.when(F.is_valid_utf8(cut), F.nullif(until_nul(cut.cast("string")), F.lit(""))).otherwise(utf8_prefix(cut))
+    """Document text of a binary column: capped, then its valid prefix."""
+    return utf8_prefix(capped_bytes(raw, most))
 
 
 def tokens(text: Column, flush_tail: bool = False) -> Column:
@@ -70,6 +62,15 @@ def tokens(text: Column, flush_tail: bool = False) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), 0) if flush_tail else F.regexp_extract_all(text, F.lit(CLOSED_TOKEN), 1)
 
 
+_C = "\\p{L}\\p{Nd}_-"
+
+
+def words(text: Column, flush_tail: bool = False, max_word: int = MAX_WORD) -> Column:
+    """The words of a text as ``term`` makes them, with a space between two; empty if there are none."""
+    word = f"(?<![{_C}])([{_C}]{{1,{max_word}}}+)[{_C}]*+"
+    return F.lower(F.array_join(F.regexp_extract_all(text, F.lit(word if flush_tail else f"{word}[^{_C}]"), 1), " "))
+
+
 def term(token: Column, max_word: int = MAX_WORD) -> Column:
     """A token cut to ``max_word`` code points and lower-cased."""
     return F.lower(F.substring(token, 1, max_word))
