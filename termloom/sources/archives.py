@@ -7,7 +7,7 @@ import os
 import tarfile
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from termloom.sources import scratch
 
 
 #: Members are handed on once they are so many bytes together.
-FRAME_BYTES = 16 << 20
+FRAME_BYTES = 4 << 20
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -26,37 +26,46 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark.read.format("binaryFile").load(path).select("path", "length"), ["path"], "file_id")
 
 
-def _members(raw: bytes):
-    if zipfile.is_zipfile(io.BytesIO(raw)):
-        with zipfile.ZipFile(io.BytesIO(raw)) as z:
+def _members(raw: pa.Buffer):
+    if zipfile.is_zipfile(pa.BufferReader(raw)):
+        with zipfile.ZipFile(pa.BufferReader(raw)) as z:
             for i in z.infolist():
                 if not i.is_dir():
                     with z.open(i) as f:
                         yield i.filename, f.read(T.MAX_BYTES)
         return
-    with tarfile.open(fileobj=io.BytesIO(raw)) as t:  # any compression
+    with tarfile.open(fileobj=pa.BufferReader(raw)) as t:  # any compression
         for i in t:
             if i.isfile():
                 yield i.name, t.extractfile(i).read(T.MAX_BYTES)
 
 
+def _frames(path: str, raw: pa.Buffer):
+    """(archive, member, raw) of an archive's members, FRAME_BYTES and the last member at most at once."""
+    names, raws, size = [], [], 0
+    for m, r in _members(raw):
+        names.append(m)
+        raws.append(r)
+        size += len(r)
+        if size >= FRAME_BYTES:
+            yield pa.RecordBatch.from_pydict({"archive": [path] * len(names), "member": names, "raw": pa.array(raws, pa.binary())})
+            names, raws, size = [], [], 0
+    if names:
+        yield pa.RecordBatch.from_pydict({"archive": [path] * len(names), "member": names, "raw": pa.array(raws, pa.binary())})
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, doc_id, text) of the members of zip and tar archives; empty texts are left out."""
+    """(archive, member, doc_id, text) of the members of zip and tar archives; empty texts are left out.
+
+    Archives are read where Arrow has put them, without a copy; only members of a frame are unpacked.
+    """
 
     def run(batches):
         for b in batches:
-            for p, c in zip(b["path"], b["content"], strict=True):
-                names, raws, size = [], [], 0
-                for m, r in _members(bytes(c)):
-                    names.append(m)
-                    raws.append(r)
-                    size += len(r)
-                    if size >= FRAME_BYTES:
-                        yield pd.DataFrame({"archive": [p] * len(names), "member": names, "raw": raws})
-                        names, raws, size = [], [], 0
-                yield pd.DataFrame({"archive": [p] * len(names), "member": names, "raw": raws})
-
-    members = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, raw binary")
+            for p, c in zip(b.column("path"), b.column("content"), strict=True):
+                yield from _frames(p.as_py(), c.as_buffer())
+
+    members = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "archive string, member string, raw binary")
     out = members.select("archive", "member", V.member_doc_id(F.col("member")).alias("doc_id"), T.normalised(F.col("raw")).alias("text"))
     return out.where("text is not null")
 
@@ -76,6 +85,29 @@ def articles(pages: DataFrame, least: int = 500) -> DataFrame:
     return numbered(kept, ["title", "text"], "n", 1).select("n", "title", "text")
 
 
+def _packed(batches, threshold: int):
+    """(name, documents, content) of one archive after the other, of batches of (n, title, text)."""
+    seq, buf, z, n = 0, None, None, 0
+    part = os.urandom(4).hex()
+
+    def close():
+        z.close()
+        return f"coll-{part}-{seq:06d}-{n:06d}.zip", n, buf.getbuffer()
+
+    for b in batches:
+        for i, title, text in zip(b.column("n"), b.column("title"), b.column("text"), strict=True):
+            if z is None:
+                buf = io.BytesIO()
+                z, n = zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED), 0
+            z.writestr(f"doc-{i.as_py()}-{title.as_py()}", text.as_py() or "")
+            n += 1
+            if buf.tell() > threshold:
+                yield close()
+                seq, z = seq + 1, None
+    if z is not None:
+        yield close()
+
+
 def pack(docs: DataFrame, threshold: int = 66_060_288) -> DataFrame:
     """(archive, n_docs, content): deflated zips of members doc-<n>-<title>, from (n, title, text).
 
@@ -84,43 +116,25 @@ def pack(docs: DataFrame, threshold: int = 66_060_288) -> DataFrame:
     """
 
     def run(batches):
-        seq, buf, z, n = 0, None, None, 0
-        part = os.urandom(4).hex()
-
-        def close():
-            z.close()
-            return pd.DataFrame({"archive": [f"coll-{part}-{seq:06d}-{n:06d}.zip"], "n_docs": [n], "content": [buf.getvalue()]})
+        for name, n, raw in _packed(batches, threshold):
+            yield pa.RecordBatch.from_pydict({"archive": [name], "n_docs": [n], "content": pa.array([raw], pa.binary())})
 
-        for b in batches:
-            for i, title, text in zip(b["n"], b["title"], b["text"], strict=True):
-                if z is None:
-                    buf = io.BytesIO()
-                    z, n = zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED), 0
-                z.writestr(f"doc-{i}-{title}", text or "")
-                n += 1
-                if buf.tell() > threshold:
-                    yield close()
-                    seq, z = seq + 1, None
-        if z is not None:
-            yield close()
-
-    return docs.select("n", "title", "text").mapInPandas(run, "archive string, n_docs long, content binary")
+    return docs.select("n", "title", "text").mapInArrow(run, "archive string, n_docs long, content binary")
 
 
 def write(docs: DataFrame, folder: str, threshold: int = 66_060_288) -> None:
     """The archives of ``pack`` as files of a folder, given by its address, that all executors reach;
-    moved into place when whole."""
+    written by the worker that packs them and moved into place when whole."""
     from pyarrow import fs
 
     def run(batches):
         files, root = fs.FileSystem.from_uri(folder)
-        for b in batches:
-            for name, raw in zip(b["archive"], b["content"], strict=True):
-                with files.open_output_stream(f"{root}/.{name}") as f:
-                    f.write(bytes(raw))
-                files.move(f"{root}/.{name}", f"{root}/{name}")
-        yield pd.DataFrame({"ok": [True]})
+        for name, _, raw in _packed(batches, threshold):
+            with files.open_output_stream(f"{root}/.{name}") as f:
+                f.write(raw)
+            files.move(f"{root}/.{name}", f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"ok": [True]})
 
     files, root = fs.FileSystem.from_uri(folder)
     files.create_dir(root)
-    pack(docs, threshold).mapInPandas(run, "ok boolean").count()
+    docs.select("n", "title", "text").mapInArrow(run, "ok boolean").count()

@@ -155,3 +155,18 @@ def test_tfidf(spark):
     top = index.tfidf_top(index.term_counts(index.tokens(docs(spark))), 6, 1)
     got = collections.Counter(r.doc_id for r in top.collect())
     assert got == {1: 1, 2: 1}
+
+
+def test_archives_are_packed_and_unpacked_in_one_worker(tmp_path, spark, monkeypatch):
+    import pyarrow as pa
+
+    d = spark.range(200).selectExpr("id as n", "concat('t', id) as title", "case when id % 5 <> 0 then repeat(concat('w', id, ' '), 50) end as text")
+    archives.write(d, f"file://{tmp_path}/z", 3000)
+    got = archives.scan(spark, f"file://{tmp_path}/z")
+    assert len(list((tmp_path / "z").glob("*.zip"))) > 2
+    assert got._jdf.queryExecution().executedPlan().toString().count("Python") + got._jdf.queryExecution().executedPlan().toString().count("MapIn") == 1
+    assert {(r.member, r.doc_id, r.text) for r in got.collect()} == {(f"doc-{r.n}-{r.title}", r.n, r.text) for r in d.where("text is not null").collect()}
+    monkeypatch.setattr(archives, "FRAME_BYTES", 500)
+    raw = pa.py_buffer((sorted((tmp_path / "z").glob("*.zip"))[0]).read_bytes())
+    sizes = [sum(map(len, b.column("raw").to_pylist())) for b in archives._frames("p", raw)]
+    assert len(sizes) > 2 and max(sizes) < 1000
