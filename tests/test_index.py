@@ -157,6 +157,25 @@ def test_tfidf(spark):
     assert got == {1: 1, 2: 1}
 
 
+def test_codec_files_and_blocks_are_bounded(tmp_path, spark):
+    words = spark.range(6000).selectExpr("id div 3 * 2 as doc_id", "concat('w', id % 7) as term")
+    built = index.build(words, 2)
+    codec.write(built, f"file://{tmp_path}/i", file_bytes=2000)
+    assert len(list((tmp_path / "i").glob("output-r000000-p*"))) >= 7
+    assert flat(codec.read(spark, f"file://{tmp_path}/i")) == flat(built)
+    raw = b"".join(codec.encode_record(f"t{i}", [(j, i) for j in range(i)]) for i in range(50))
+    old, codec._POSTINGS = codec._POSTINGS, 100
+    try:
+        blocks = [b for b in codec._decoded(3, memoryview(raw))]
+        again = [r["record"] for b in blocks for e in codec._encoded(b) for r in e.to_pylist()]
+    finally:
+        codec._POSTINGS = old
+    assert len(blocks) > 8 and max(len(b.column("postings").flatten()) for b in blocks) < 150
+    assert b"".join(again) == raw
+    with pytest.raises(Exception, match="32 bits"):
+        codec.encode(partial(spark, [("x", [(-1, 1)])])).collect()
+
+
 def test_archives_are_packed_and_unpacked_in_one_worker(tmp_path, spark, monkeypatch):
     import pyarrow as pa
 
