@@ -47,9 +47,13 @@ def _words(spark, sf_dir):
     return index.tokens(table(spark, sf_dir, "documents"))
 
 
+def _built(spark, sf_dir):
+    return index.of_documents(table(spark, sf_dir, "documents"), SHARDS)
+
+
 @query(_INDEX)
 def index_postings(spark, sf_dir):
-    return index.as_text(index.build(_words(spark, sf_dir), SHARDS))
+    return index.as_text(_built(spark, sf_dir))
 
 
 @query(f"WITH {_TOK} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY ALL")
@@ -106,19 +110,19 @@ def o41_tf_per_doc(spark, sf_dir):
 
 @query(f"WITH {_TF} SELECT term, count(*) AS df FROM tf GROUP BY ALL")
 def o44_df_global(spark, sf_dir):
-    return index.document_frequency(index.build(_words(spark, sf_dir), SHARDS))
+    return index.document_frequency(index.term_counts(_words(spark, sf_dir)))
 
 
 @query(f"""WITH {_TF} SELECT CAST(doc_id % {SHARDS} AS INTEGER) AS shard, count(DISTINCT term) AS n_terms, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens FROM tf GROUP BY ALL""")
 def o44_shard_stats(spark, sf_dir):
-    return index.shard_stats(index.build(_words(spark, sf_dir), SHARDS))
+    return index.shard_stats(index.term_counts(_words(spark, sf_dir)), SHARDS)
 
 
 @query(_INDEX)
 def o46_merge_partials(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     split = F.pmod(F.xxhash64("source"), F.lit(3))
-    return index.as_text(index.merge(*(index.build(index.tokens(docs.where(split == i)), SHARDS) for i in range(3))))
+    return index.as_text(index.merge(*(index.of_documents(docs.where(split == i), SHARDS) for i in range(3))))
 
 
 @query(f"WITH {_TOK} SELECT DISTINCT term FROM tok")
@@ -296,7 +300,7 @@ def o06_wiki_dump(spark, sf_dir):
 @query(_INDEX)
 def o07_codec_round_trip(spark, sf_dir):
     folder = scratch.folder(spark, "codec")
-    codec.write(index.build(_words(spark, sf_dir), SHARDS), folder)
+    codec.write(_built(spark, sf_dir), folder)
     return index.as_text(codec.read(spark, folder))
 
 
@@ -304,7 +308,7 @@ def o07_codec_round_trip(spark, sf_dir):
 def o10_partitioned_writer(spark, sf_dir):
     """The whole content of the written index, read back."""
     folder = scratch.folder(spark, "index")
-    index.write(index.build(_words(spark, sf_dir), SHARDS), folder)
+    index.write(_built(spark, sf_dir), folder)
     return index.as_text(spark.read.parquet(folder))
 
 
@@ -312,7 +316,7 @@ def o10_partitioned_writer(spark, sf_dir):
 def o13c_result_listing(spark, sf_dir):
     """Bytes of the listed files of each shard: those of its records."""
     folder = scratch.folder(spark, "listed")
-    codec.write(index.build(_words(spark, sf_dir), SHARDS), folder)
+    codec.write(_built(spark, sf_dir), folder)
     files = archives.listing(spark, folder)
     return files.groupBy(V.parsed_file_name(F.element_at(F.split("path", "/"), -1))["shard"].cast("int").alias("shard")).agg(F.sum("length").alias("bytes"))
 
@@ -565,13 +569,13 @@ def o78_status_defaults(spark, sf_dir):
   SELECT doc_id, term, tf, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) AS rank FROM s) WHERE rank <= 3""")
 def tfidf_topk(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    top = index.tfidf_top(index.term_counts(index.tokens(docs)), docs.count(), 3)
+    top = index.tfidf_top_of(index.of_documents(docs, SHARDS), docs.count(), 3)
     return top.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
 def index_stemmed(spark, sf_dir):
-    return index.as_text(index.from_counts(index.stemmed_counts(_words(spark, sf_dir)), SHARDS))
+    return index.as_text(index.stemmed(_built(spark, sf_dir)))
 
 
 def _stem_query(number: int, language: str):

@@ -22,7 +22,7 @@ def run(docs: DataFrame, folder: str, shards: int, flush_tail: bool = False, on_
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        part = index.build(index.tokens(batch, flush_tail), shards)
+        part = index.of_documents(batch, shards, flush_tail)
         part.write.mode("overwrite").parquet(f"{folder}/partial/batch={batch_id}")
         if on_map_finished:
             on_map_finished(batch_id)

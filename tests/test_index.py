@@ -157,6 +157,63 @@ def test_tfidf(spark):
     assert got == {1: 1, 2: 1}
 
 
+def test_map_side_index_equals_brute_force(spark):
+    rows = [(1, "a b a. C "), (2, "b "), (3, None), (4, ""), (5, "a\0b "), (1, "a x"), (None, "a b "), (None, "a "), (9, "ΑΣ-ΣΑ İx Ǆ_1 ٣ �;"), (10, "é" * 64 + "Ab" + "c" * 9 + " A "), (11, "z" * 200_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    short = d.where("doc_id <> 11 or doc_id is null")
+    for flush in (False, True):
+        want = flat(index.build(index.tokens(short, flush), 2))
+        assert flat(index.of_documents(short, 2, flush)) == want
+    assert flat(index.of_documents(d, 2)) == flat(index.build(index.tokens(short), 2))
+    assert flat(index.of_documents(d.where("false"), 2)) == {}
+    texts = {(r.shard, r.term): r.postings for r in index.as_text(index.of_documents(short, 2)).collect()}
+    assert texts[1, "a"] == "1:3" and texts[None, "a"] == "2"
+
+
+def test_lists_of_blocks():
+    import pyarrow as pa
+
+    h = [1] * 4 + [2] * 3 + [3] * 5  # "y" and "x" share a hash
+    rows = {"_h": h, "shard": pa.array([0] * 12, pa.int32()), "term": list("yxyx") + ["p"] * 3 + ["q"] * 5, "doc_id": [9, 4, 2, 4, 7, 7, 1, 5, 4, 3, 2, 1], "tf": [1] * 12}
+    table = pa.table(rows)
+    want = {"x": [(4, 2)], "y": [(2, 1), (9, 1)], "p": [(1, 1), (7, 2)], "q": [(i, 1) for i in range(1, 6)]}
+    got = {r["term"]: [(p["doc_id"], p["tf"]) for p in r["postings"]] for r in index._lists(table).to_pylist()}
+    assert got == want
+    for size in (1, 2, 3, 5):  # a block never cuts a run of equal hashes
+        for most in (1, 3, 100):
+            old, index._BLOCK = index._BLOCK, most
+            try:
+                blocks = list(index._blocks(iter(table.to_batches(size))))
+            finally:
+                index._BLOCK = old
+            assert sum(b.num_rows for b in blocks) == 12 and len(blocks) == (1 if most == 100 else len(blocks))
+            assert {r["term"]: [(p["doc_id"], p["tf"]) for p in r["postings"]] for b in blocks for r in index._lists(b).to_pylist()} == want
+
+
+def test_index_is_dealt_out_once_and_in_blocks(spark):
+    d = spark.range(400).selectExpr("id * 2 as doc_id", "'the same words ' as text").coalesce(1)
+    built = index.of_documents(d, 2)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "ObjectHashAggregate" not in plan
+    assert flat(built) == {(0, t): (400, [(2 * i, 1) for i in range(400)]) for t in ("the", "same", "words")}
+
+
+def test_stemmed_index(spark):
+    d = spark.createDataFrame([(1, "running runs run runner. "), (2, "Runs RUNNING hopping hoped "), (1, "run "), (3, None)], "doc_id long, text string")
+    got = index.stemmed(index.of_documents(d, 2))
+    assert flat(got) == flat(index.from_counts(index.stemmed_counts(index.tokens(d)), 2))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stats_and_best_terms_make_no_join(spark):
+    words = index.term_counts(index.tokens(docs(spark)))
+    assert {tuple(r) for r in index.shard_stats(words, 2).collect()} == {(0, 1, 1, 1), (1, 3, 3, 5)}
+    assert {tuple(r) for r in index.document_frequency(words).collect()} == {("a", 1), ("b", 2), ("c", 1)}
+    top = index.tfidf_top_of(index.of_documents(docs(spark), 2), 6, 2)
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in top.collect()} == {tuple(r) for r in index.tfidf_top(words, 6, 2).collect()}
+
+
 def test_codec_files_and_blocks_are_bounded(tmp_path, spark):
     words = spark.range(6000).selectExpr("id div 3 * 2 as doc_id", "concat('w', id % 7) as term")
     built = index.build(words, 2)
